@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe_encode_decode
+from .html_extract import op8_html_extraction
+from .license_scan import op5_license_scan
+from .mixing import op1_mix_sources
+from .quality_classifier import op10_quality_classifier
+from .quality_rules import op4_quality_rules
 from .simhash_dedup import op2_simhash_near_dedup
+from .unigram_count import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_simhash_near_dedup, op3_token_counts, op4_quality_rules, op5_license_scan, op7_bpe_encode_decode, op8_html_extraction, op10_quality_classifier)
+}
 
 ORACLE: dict[str, str] = {}
