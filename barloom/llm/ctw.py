@@ -297,7 +297,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         )
 
 
-def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, crowd: int = 1 << 13, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, crowd: int = 1 << 15, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, n_bytes, train_tokens, base_score, score, bits_per_byte.
 
     train: a boolean column over id; by default those not held out.
