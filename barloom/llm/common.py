@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -54,6 +55,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach(docs: DataFrame, columns: dict[str, Column], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """map_batches with the whole row in a struct column ``doc``, apart from f's own columns, so that names can't clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(name) for name, c in columns.items()])
+    return map_batches(rows, f, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barloom-checkpoints"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Columns without nulls that tell documents apart unless id and text are equal."""
+    i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.coalesce(i, F.lit(0)).alias("key_id"), i.isNull().alias("key_null"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("key_text")]
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

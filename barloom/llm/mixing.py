@@ -19,13 +19,17 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, map_batches, n_words, texts, whole_key
 
 WEIGHTS = (3, 1, 2)
+KEY = ["key_id", "key_null", "key_text"]
 
 
 def capped_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -100,9 +104,9 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, passes, first, last, taken.
+    """One row per document: id, source, size, source_size, target, passes, last, taken and its key.
 
-    The mix takes ``passes`` whole copies of a document and its words [first, last) once more.
+    The mix takes ``passes`` whole copies of a document and its first ``last`` words once more.
     """
     weigh = weigh or by_order()
     spark = docs.sparkSession
@@ -113,6 +117,7 @@ def mix(
             F.col(source_col).cast("string").alias("source"),
             (n_words(text) if size is None else size.cast("long")).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text))).alias("at"),
+            *whole_key(id_col, text_col),
         )
     )
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
@@ -137,13 +142,52 @@ def mix(
         quotas += [(k, shard, w, -(-w // block), q) for (shard, w), q in zip(shards, given, strict=True)]
     quota = spark.createDataFrame(quotas, "k int, shard int, words long, n_blocks long, quota long")
     dealt = dealt.join(quota, ["k", "shard"])
-    order = Window.partitionBy("k", "shard").orderBy("at", F.col("id").asc_nulls_last(), "size")
+    order = Window.partitionBy("k", "shard").orderBy("at", *KEY)
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     full = F.least(F.floor(F.col("quota") / F.greatest("n_blocks", F.lit(1))), F.lit(most_passes))
     placed = dealt.withColumn("start", end - F.col("size")).withColumn("passes", full.cast("long"))
     reach = F.least((F.col("quota") - F.col("passes") * F.col("n_blocks")) * block, F.col("words"))
     placed = placed.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), reach - F.col("start"))).cast("long"))
-    return placed.select("id", "source", "at", "size", "source_size", "target", "passes", F.lit(0).cast("long").alias("first"), "last", (F.col("passes") * F.col("size") + F.col("last")).alias("taken"))
+    return placed.select("id", "source", "at", "size", "source_size", "target", "passes", "last", *KEY, (F.col("passes") * F.col("size") + F.col("last")).alias("taken"))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def leading(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        end = m.end()
+        if k == n:
+            break
+    return text[:end]
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [leading(t, n) for t, n in zip(texts(b), b.column("last").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(got, pa.string())], names=["doc", "cut"])
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", **how) -> DataFrame:
+    """The mix itself, with the documents' columns: a row for each whole copy, and a last one cut where a quota ends.
+
+    At most one document of a shard is cut; its character count follows. Equal rows are told apart by number.
+    """
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("passes", "last")).alias("nth")
+    plan = cut(mix(docs, id_col=id_col, text_col=text_col, **how).filter("taken > 0").select(*KEY, "passes", "last", "size", nth))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *whole_key(id_col, text_col))
+    rows = named.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).join(plan, [*KEY, "nth"])
+    whole = F.col("passes") + F.when(F.col("last") >= F.col("size"), 1).otherwise(0)
+    copies = rows.select("doc", F.explode(F.array_repeat(F.lit(1), whole.cast("int")))).select("doc.*")
+    part = rows.filter("last > 0 and last < size").select("doc", F.col("doc").getField(text_col).cast("string").alias("text"), "last")
+    trimmed = map_batches(part, _lead, f"doc {part.schema['doc'].dataType.simpleString()}, cut string")
+    fields = []
+    for c in docs.columns:
+        own = F.col("cut") if c == text_col else F.char_length("cut").cast("long") if c == count_col else F.col("doc").getField(c)
+        fields.append(own.cast(docs.schema[c].dataType).alias(c))
+    return copies.unionByName(trimmed.select(*fields))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import attach, map_batches, texts
 
 BITS = 18
 REMEMBERED = 300_000
@@ -119,19 +119,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8192, seed: int = 17, id
     return ftrl(rows)
 
 
+def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float], carried: str) -> Iterator[pa.RecordBatch]:
+    weights, bias = model
+    for b in batches:
+        out = np.empty(b.num_rows)
+        for k, t in enumerate(texts(b)):
+            places, values = features(t)
+            out[k] = weights[places].astype(np.float64) @ values.astype(np.float64) + bias
+        yield pa.RecordBatch.from_arrays([b.column(carried), pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))], names=[carried, "score"])
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score (0 to 1)."""
-    weights, bias = model
+    return map_batches(_rows(docs, id_col, text_col), lambda it: _score(it, model, "id"), "id long, score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = np.empty(b.num_rows)
-            for k, t in enumerate(texts(b)):
-                places, values = features(t)
-                out[k] = weights[places].astype(np.float64) @ values.astype(np.float64) + bias
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))], names=["id", "score"])
 
-    return map_batches(_rows(docs, id_col, text_col), run, "id long, score double")
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score at least ``least``, with their columns."""
+    scored = attach(docs, {"text": F.col(text_col).cast("string")}, lambda it: _score(it, model, "doc"), "score double")
+    return scored.filter(F.col("score") >= least).select("doc.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

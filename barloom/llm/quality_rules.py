@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts
+from .common import attach, cut, map_batches, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -99,7 +99,7 @@ def split_words(text: str) -> list[str]:
 _cutters: dict[str, Cutter] = {}
 
 
-def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], path: str, carried: tuple[str, ...] = ("id", "lang")) -> Iterator[pa.RecordBatch]:
     if path not in _cutters:
         _cutters[path] = Cutter(path)
     cutter = _cutters[path]
@@ -126,40 +126,51 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                     out.append((*base(text, words), 0, 0, None))
             start = stop
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.float64())], names=["id", "lang", *names, "entropy"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.float64())], names=[*carried, *names, "entropy"])
 
 
-def measures(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, lang, the base figures, token figures and entropy in bits."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double"
-    return map_batches(rows, lambda it: _measure(it, path), schema)
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double"
 
 
-def judge(measured: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """Adds base_failed, chars_per_token, byte_share and kept; measured: materialised."""
-    rows = (
+def derived(measured: DataFrame) -> DataFrame:
+    """Adds base_failed, chars_per_token, byte_share and the class (group, length) to measured rows."""
+    return (
         measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("chars_per_token", F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")))
         .withColumn("byte_share", F.when(F.col("n_tokens") > 0, F.col("n_byte_tokens") / F.col("n_tokens")))
         .withColumn("group", F.coalesce("lang", F.lit("")))
         .withColumn("length", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     )
-    points = rows.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct()
+
+
+def measures(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """One row per document: id, lang, the base figures, token figures and entropy in bits, and what derives from them."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return derived(map_batches(rows, lambda it: _measure(it, path), f"id long, lang string, {FIGURES}"))
+
+
+def learn_bands(measured: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Bands by (group, length) and by length over all groups, as tables of a row for each class."""
+    points = measured.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct()
     quarters = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), 10000).alias(c[0]) for c in ("chars_per_token", "entropy")]
 
-    def scaled(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        got = df.groupBy(*keys).agg(F.count("*").alias("n"), *quarters).filter(F.col("n") >= bands.least)
-        return cut(got.select(*keys, F.col("c")[0].alias(f"c_mid{tag}"), F.greatest(2 * (F.col("c")[1] - F.col("c")[0]), F.lit(bands.cpt_floor)).alias(f"c_scale{tag}"), F.col("e")[0].alias(f"e_mid{tag}"), F.greatest(2 * (F.col("e")[1] - F.col("e")[0]), F.lit(bands.entropy_floor)).alias(f"e_scale{tag}")))
+    def scaled(keys: list[str], tag: str) -> DataFrame:
+        got = points.groupBy(*keys).agg(F.count("*").alias("n"), *quarters).filter(F.col("n") >= bands.least)
+        mid, scale = (lambda c: F.col(c)[0].alias(f"{c}_mid{tag}")), (lambda c, floor: F.greatest(2 * (F.col(c)[1] - F.col(c)[0]), F.lit(floor)).alias(f"{c}_scale{tag}"))
+        return cut(got.select(*keys, mid("c"), scale("c", bands.cpt_floor), mid("e"), scale("e", bands.entropy_floor)))
+
+    return scaled(["group", "length"], ""), scaled(["length"], "_all")
+
 
-    own, pooled = scaled(points, ["group", "length"], ""), scaled(points, ["length"], "_all")
-    seen = rows.join(own, ["group", "length"], "left").join(pooled, "length", "left")
+def judge(measured: DataFrame, learned: tuple[DataFrame, DataFrame], bands: Bands) -> DataFrame:
+    """Adds kept."""
+    seen = measured.join(learned[0], ["group", "length"], "left").join(learned[1], "length", "left")
     pick = lambda c: F.coalesce(F.col(c), F.col(f"{c}_all"))
     c = (F.col("chars_per_token") - pick("c_mid")) / pick("c_scale")
     e = (F.col("entropy") - pick("e_mid")) / pick("e_scale")
     odd = (F.abs(c) > bands.cpt) | (e < -bands.entropy) | ((c < -bands.joint) & (e < -bands.joint))
     rejected = F.col("base_failed") | F.coalesce(odd, F.lit(False)) | F.coalesce(F.col("byte_share") > bands.bytes_most, F.lit(False))
-    return seen.withColumn("kept", ~rejected).select(*rows.columns, "kept")
+    return seen.withColumn("kept", ~rejected).select(*measured.columns, "kept")
 
 
 def default_path() -> str:
@@ -169,7 +180,18 @@ def default_path() -> str:
 
 
 def rated(docs: DataFrame, path: str | None = None, bands: Bands = Bands()) -> DataFrame:
-    return judge(cut(measures(docs, path or default_path())), bands)
+    """One row per document with its measures and verdict."""
+    measured = cut(measures(docs, path or default_path()))
+    return judge(measured, learn_bands(measured, bands), bands)
+
+
+def keep(docs: DataFrame, path: str | None = None, bands: Bands = Bands(), text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """The documents that pass, with their columns; texts are measured twice rather than shuffled or stored."""
+    path = path or default_path()
+    learned = learn_bands(measures(docs, path, text_col, id_col, lang_col), bands)
+    columns = {"lang": F.col(lang_col).cast("string"), "text": F.col(text_col).cast("string")}
+    measured = attach(docs, columns, lambda it: _measure(it, path, ("doc", "lang")), f"lang string, {FIGURES}")
+    return judge(derived(measured), learned, bands).filter("kept").select("doc.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts
+from .common import attach, cut, map_batches, texts
 
 CHUNK = 1 << 16
 
@@ -162,15 +162,40 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
-    """One row per document: id, fp (signed long), component (least id of those reachable)."""
-    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
+def classes(marked: DataFrame, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
+    """(fp, rep, label, component) for each distinct fingerprint; marked: (id, fp), materialised.
+
+    rep is the least id with the fingerprint, component the least of its class, label the class's least fp.
+    """
     reps = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
     labels = components(links(reps.select("fp"), radius, blocks, crowded)).withColumnRenamed("node", "fp")
     grouped = cut(reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     least = cut(grouped.groupBy("label").agg(F.min("rep").alias("component")))
-    by_fp = cut(grouped.join(least, "label").select("fp", "label", "component"))
-    return marked.join(by_fp, "fp").select("id", "fp", "label", "component")
+    return cut(grouped.join(least, "label").select("fp", "rep", "label", "component"))
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
+    """One row per document: id, fp (signed long), label and component (least id of those reachable)."""
+    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
+    return marked.join(classes(marked, radius, blocks, crowded).drop("rep"), "fp").select("id", "fp", "label", "component")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
+    """The document with the least id of each class, with its columns; one of several rows that share that id and fingerprint."""
+    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
+    found = classes(marked, radius, blocks, crowded)
+    first = found.filter(F.col("rep").eqNullSafe(F.col("component"))).groupBy("label").agg(F.min("fp").alias("fp"), F.first("component").alias("id"))
+    keys = [F.coalesce("id", F.lit(0)).alias("key_id"), F.col("id").isNull().alias("key_null"), F.col("fp").alias("key_fp")]
+    names = ["key_id", "key_null", "key_fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle) for t in texts(b, "text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(fp)], names=["doc", "id", "fp"])
+
+    columns = {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}
+    rows = attach(docs, columns, run, "id long, fp long").select("doc", *keys)
+    return rows.join(first.select(*keys), names, "left_semi").dropDuplicates(names).select("doc.*")
 
 
 def hexed(fp):
