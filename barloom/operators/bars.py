@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bucket, ratio
 from ..functions.windows import islands
 
-BUY, SELL = F.lit(1), F.lit(-1)
 SIDES = (("buy", 1), ("sell", -1))
 
 

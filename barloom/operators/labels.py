@@ -18,9 +18,10 @@ def direction_label(close: str, h: int, threshold: float, w: WindowSpec) -> Colu
 
 
 def vol_normalised(close: str, ts: str, h: int, step: int, n: int, least: int, w: WindowSpec, most: float = 5.0) -> Column:
-    """Forward return over the rolling deviation of one-bar returns, clipped; null unless bars are contiguous."""
+    """Forward return over the rolling deviation of one-bar returns, clipped; null unless bars are contiguous and the deviation above 0."""
     one = diff(close, 1, w) / F.lag(close).over(w)
-    return F.when(contiguous(ts, 0, h, step, w), clip(forward_delta(close, h, w) / F.col(close) / F.nullif(F.col("vol"), F.lit(0.0)) if n == 0 else forward_delta(close, h, w) / F.col(close) / rolling(one, n, least, w, F.stddev_samp), -most, most))
+    vol = F.nullif(rolling(one, n, least, w, F.stddev_samp), F.lit(0.0))
+    return F.when(contiguous(ts, 0, h, step, w), clip(forward_delta(close, h, w) / F.col(close) / vol, -most, most))
 
 
 def touch(close: str, h: int, theta: float, w: WindowSpec) -> tuple[Column, Column]:

@@ -13,10 +13,17 @@ from ..sources.tables import DAY, messages, table
 from .shared import DAILY, SCORED, daily, rounded, rsql, scored
 
 QUERIES, ORACLE = {}, {}
-BY = W.along("stream", by="bar")
 HOUR = 3600
 
 
+def by_bar():
+    return W.along("stream", by="bar")
+
+
+def by_key():
+    return W.along("key", by="ts")
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -79,12 +86,11 @@ def frame(name: str, n: int) -> str:
 @query(f"WITH {SCORED} SELECT stream, bar, round(CASE WHEN count(imb) OVER w4 >= 2 THEN avg(imb) OVER w4 END, 6) AS roll4, round(CASE WHEN count(imb) OVER w8 >= 4 THEN avg(imb) OVER w8 END, 6) AS roll8, round(CASE WHEN count(ret) OVER w16 >= 4 THEN stddev_samp(ret) OVER w16 END, 6) AS vol16, round(CASE WHEN count(samples) OVER w12 >= 12 THEN sum(samples) OVER w12 END, 6) AS sum12 FROM scored WINDOW {frame('w4', 4)}, {frame('w8', 8)}, {frame('w16', 16)}, {frame('w12', 12)}")
 def feat_rolling_minperiods(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    got = rows.select("stream", "bar", W.rolling("imb", 4, 2, BY).alias("roll4"), W.rolling("imb", 8, 4, BY).alias("roll8"), W.rolling("ret", 16, 4, BY, F.stddev_samp).alias("vol16"), W.rolling("samples", 12, 12, BY, F.sum).cast("double").alias("sum12"))
+    got = rows.select("stream", "bar", W.rolling("imb", 4, 2, by_bar()).alias("roll4"), W.rolling("imb", 8, 4, by_bar()).alias("roll8"), W.rolling("ret", 16, 4, by_bar(), F.stddev_samp).alias("vol16"), W.rolling("samples", 12, 12, by_bar(), F.sum).cast("double").alias("sum12"))
     return rounded(got)
 
 
 MSG = "m AS (SELECT user_id AS key, (epoch_us(ts) // 1000000) AS ts, value, event_id AS seq FROM events)"
-KEYED = W.along("key", by="ts")
 
 
 def time_frame(name: str, seconds: int) -> str:
@@ -93,12 +99,12 @@ def time_frame(name: str, seconds: int) -> str:
 
 @query(f"WITH {MSG}, r AS (SELECT seq, value, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std FROM m WINDOW {time_frame('w', 86400)}) SELECT seq, round(CASE WHEN n >= 3 AND std > 0 THEN greatest(-8, least(8, (value - mean) / std)) END, 5) AS z FROM r")
 def feat_time_roll_z(spark, sf_dir):
-    return rounded(messages(spark, sf_dir).select("seq", W.time_z("value", DAY, 3, KEYED).alias("z")), 5)
+    return rounded(messages(spark, sf_dir).select("seq", W.time_z("value", DAY, 3, by_key()).alias("z")), 5)
 
 
 @query(f"WITH {MSG}, r AS (SELECT seq, value, count(value) OVER w AS n, avg(value) OVER w AS mean, max(value) OVER w AS hi, min(value) OVER w AS lo FROM m WINDOW {time_frame('w', 14400)}) SELECT seq, round(CASE WHEN n >= 2 AND mean <> 0 THEN greatest(0, least(10, value / mean)) END, 6) AS ratio, round(CASE WHEN n >= 2 THEN hi END, 6) AS hi, round(CASE WHEN n >= 2 THEN lo END, 6) AS lo FROM r")
 def feat_time_roll_ratio(spark, sf_dir):
-    return rounded(messages(spark, sf_dir).select("seq", W.time_ratio("value", 4 * HOUR, 2, KEYED).alias("ratio"), W.rolling_time("value", 4 * HOUR, 2, KEYED, F.max).alias("hi"), W.rolling_time("value", 4 * HOUR, 2, KEYED, F.min).alias("lo")))
+    return rounded(messages(spark, sf_dir).select("seq", W.time_ratio("value", 4 * HOUR, 2, by_key()).alias("ratio"), W.rolling_time("value", 4 * HOUR, 2, by_key(), F.max).alias("hi"), W.rolling_time("value", 4 * HOUR, 2, by_key(), F.min).alias("lo")))
 
 
 @query("""WITH e AS (SELECT event_id, (epoch_us(ts) // 1000000) AS s, make_timestamp((epoch_us(ts) // 1000000) * 1000000) AS t FROM events), a AS (SELECT event_id, (hour(t) + minute(t) / 60.0) * 2 * pi() / 24 AS h, minute(t) * 2 * pi() / 60 AS m, (isodow(t) - 1) * 2 * pi() / 7 AS d FROM e)
@@ -120,8 +126,8 @@ def feat_funding_window(spark, sf_dir):
 q AS (SELECT *, CASE WHEN count(vol) OVER w >= 30 THEN quantile_cont(vol, 1.0/3) OVER w END AS lo, CASE WHEN count(vol) OVER w >= 30 THEN quantile_cont(vol, 2.0/3) OVER w END AS hi FROM v WINDOW {frame('w', 200)})
 SELECT stream, bar, round(vol, 6) AS vol, CASE WHEN vol <= lo THEN 'low' WHEN vol > hi THEN 'high' ELSE 'mid' END AS vol_regime FROM q""")
 def feat_vol_regime_quantile(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("abs_ret", F.abs("ret")).withColumn("vol", W.rolling("abs_ret", 8, 4, BY))
-    marked = rows.withColumn("lo", W.quantile("vol", 1 / 3, 200, 30, BY)).withColumn("hi", W.quantile("vol", 2 / 3, 200, 30, BY))
+    rows = scored(spark, sf_dir).withColumn("abs_ret", F.abs("ret")).withColumn("vol", W.rolling("abs_ret", 8, 4, by_bar()))
+    marked = rows.withColumn("lo", W.quantile("vol", 1 / 3, 200, 30, by_bar())).withColumn("hi", W.quantile("vol", 2 / 3, 200, 30, by_bar()))
     regime = F.when(F.col("vol") <= F.col("lo"), "low").when(F.col("vol") > F.col("hi"), "high").otherwise("mid")
     return rounded(marked.select("stream", "bar", "vol", regime.alias("vol_regime")))
 
@@ -166,20 +172,20 @@ def asof_backward_stale(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT stream, bar, round(fwd, 6) AS delta, CASE WHEN fwd > 100 THEN 1 WHEN fwd < -100 THEN -1 ELSE 0 END AS label FROM scored WHERE fwd IS NOT NULL")
 def label_direction(spark, sf_dir):
-    rows = C.drop_tail(scored(spark, sf_dir).withColumn("delta", L.forward_delta("close", 1, BY)).withColumn("label", L.direction_label("close", 1, 100.0, BY)), ("stream",), "bar", 1)
+    rows = C.drop_tail(scored(spark, sf_dir).withColumn("delta", L.forward_delta("close", 1, by_bar())).withColumn("label", L.direction_label("close", 1, 100.0, by_bar())), ("stream",), "bar", 1)
     return rounded(rows.select("stream", "bar", "delta", "label"))
 
 
 @query(f"""WITH {DAILY}, o AS (SELECT *, (close - lag(close) OVER w) / lag(close) OVER w AS one FROM daily WINDOW w AS (PARTITION BY stream ORDER BY bar)),
 v AS (SELECT *, CASE WHEN count(one) OVER f >= 4 THEN stddev_samp(one) OVER f END AS vol, lead(close, 3) OVER w AS later, lead(bar, 3) OVER w AS nxt FROM o WINDOW {frame('f', 16)}, w AS (PARTITION BY stream ORDER BY bar))
-SELECT stream, bar, round(CASE WHEN nxt - bar = 3 * 86400 THEN greatest(-5, least(5, (later - close) / close / vol)) END, 5) AS y FROM v""")
+SELECT stream, bar, round(CASE WHEN nxt - bar = 3 * 86400 AND vol > 0 THEN greatest(-5, least(5, (later - close) / close / vol)) END, 5) AS y FROM v""")
 def label_volnorm(spark, sf_dir):
-    return rounded(daily(spark, sf_dir).select("stream", "bar", L.vol_normalised("close", "bar", 3, DAY, 16, 4, BY).alias("y")), 5)
+    return rounded(daily(spark, sf_dir).select("stream", "bar", L.vol_normalised("close", "bar", 3, DAY, 16, 4, by_bar()).alias("y")), 5)
 
 
 @query(f"WITH {DAILY}, t AS (SELECT *, max(close) OVER w AS hi, min(close) OVER w AS lo FROM daily WINDOW w AS (PARTITION BY stream ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)) SELECT stream, bar, CAST(hi / close - 1 >= 0.2 AS INT) AS touch_up, CAST(lo / close - 1 <= -0.2 AS INT) AS touch_down FROM t")
 def label_mfe_touch(spark, sf_dir):
-    up, down = L.touch("close", 4, 0.2, BY)
+    up, down = L.touch("close", 4, 0.2, by_bar())
     return daily(spark, sf_dir).select("stream", "bar", up.alias("touch_up"), down.alias("touch_down"))
 
 
@@ -190,7 +196,7 @@ def first(h: int, test: str, w: str = "w") -> str:
 
 @query(f"WITH {DAILY}, t AS (SELECT stream, bar, {first(6, '$x / close - 1 >= 0.2')} AS k_up, {first(6, '$x / close - 1 <= -0.2')} AS k_down FROM daily WINDOW w AS (PARTITION BY stream ORDER BY bar)) SELECT stream, bar, k_up, k_down, CAST(k_up < k_down AS INT) AS touch_up, CAST(k_down < k_up AS INT) AS touch_down FROM t")
 def label_first_touch(spark, sf_dir):
-    return L.triple_barrier(daily(spark, sf_dir), "close", 6, 0.2, BY).select("stream", "bar", "k_up", "k_down", "touch_up", "touch_down")
+    return L.triple_barrier(daily(spark, sf_dir), "close", 6, 0.2, by_bar()).select("stream", "bar", "k_up", "k_down", "touch_up", "touch_down")
 
 
 LABELLED = f"{SCORED}, lab AS (SELECT *, CASE WHEN fwd > 100 THEN 1 WHEN fwd < -100 THEN -1 ELSE 0 END AS label FROM scored WHERE fwd IS NOT NULL)"

@@ -126,9 +126,10 @@ suff AS (SELECT stream, bar, count(mid) AS samples, sum(mid) AS mid_sum, var_pop
   FROM turns GROUP BY stream, bar)"""
 
 
-@query(f"WITH {SUFFICIENT} SELECT stream, bar, samples, flips, first_sign, last_sign, {rsql('mid_sum', 'mid_m2', 'mid_open', 'mid_close', 'rv', 'buy_sumsq', 'sell_sumsq', digits=4)} FROM suff")
+@query(f"WITH {SUFFICIENT} SELECT stream, bar, samples, flips, first_sign, last_sign, {rsql('mid_open', 'mid_close')}, {rsql('mid_sum', 'mid_m2', 'rv', 'buy_sumsq', 'sell_sumsq', digits=3)} FROM suff")
 def bar_sufficient_stats(spark, sf_dir):
-    return rounded(B.sufficient(tape(spark, sf_dir), DAY), 4)
+    got = B.sufficient(tape(spark, sf_dir), DAY)
+    return got.select(*[F.round(c, 6 if c in ("mid_open", "mid_close") else 3).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
 
 
 SECOND = "future AS (SELECT CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 86400 AS bar, count(o_totalprice) AS samples, arg_min(o_totalprice, o_orderkey) AS open, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1)"

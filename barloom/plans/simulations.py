@@ -13,12 +13,15 @@ from .features import first
 from .shared import MONTH, SCORED, rounded, rsql, scored
 
 QUERIES, ORACLE = {}, {}
-BY = along("stream", by="bar")
 TAKER, MAKER = 5.0, 2.0
 #: Positions are long above this score and short below its negative.
 AT = 0.15
 
 
+def by_bar():
+    return along("stream", by="bar")
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -40,7 +43,7 @@ W = "WINDOW w AS (PARTITION BY stream ORDER BY bar)"
 
 @query(f"WITH {SIDED} SELECT stream, bar, side, round(side * (lead(close, 3) OVER w / close - 1) * 10000 - 10, 4) AS net_bps FROM sided QUALIFY side IS NOT NULL {W}".replace(f"QUALIFY side IS NOT NULL {W}", f"{W} QUALIFY side IS NOT NULL"))
 def sim_endpoint_bps(spark, sf_dir):
-    rows = sided(spark, sf_dir).withColumn("net_bps", X.endpoint_bps("close", F.col("side"), 3, 2 * TAKER, BY))
+    rows = sided(spark, sf_dir).withColumn("net_bps", X.endpoint_bps("close", F.col("side"), 3, 2 * TAKER, by_bar()))
     return rounded(rows.filter("side is not null").select("stream", "bar", "side", "net_bps"), 4)
 
 
@@ -53,7 +56,7 @@ tpsl AS (SELECT *, CASE WHEN pend IS NOT NULL THEN CASE WHEN exit_reason = 'tp'
 
 
 def exits(spark, sf_dir, tp=TP, sl=SL):
-    return X.tp_sl(sided(spark, sf_dir), "close", F.col("side"), H, tp, sl, TAKER, MAKER, BY).filter("side is not null")
+    return X.tp_sl(sided(spark, sf_dir), "close", F.col("side"), H, tp, sl, TAKER, MAKER, by_bar()).filter("side is not null")
 
 
 @query(f"WITH {TPSL} SELECT stream, bar, side, exit_k, exit_reason, round(net_bps, 4) AS net_bps FROM tpsl")
@@ -73,7 +76,7 @@ maker AS (SELECT *, CASE WHEN pend IS NOT NULL THEN k_fill IS NOT NULL END AS fi
 
 
 def orders(spark, sf_dir):
-    return X.maker_fill(sided(spark, sf_dir), "close", F.col("side"), H, WAIT, DELAY, DELTA, TP, SL, MAKER, TAKER, BY).filter("side is not null")
+    return X.maker_fill(sided(spark, sf_dir), "close", F.col("side"), H, WAIT, DELAY, DELTA, TP, SL, MAKER, TAKER, by_bar()).filter("side is not null")
 
 
 @query(f"WITH {MAKERSQL} SELECT stream, bar, side, k_fill, CAST(filled AS INT) AS filled, exit_k, exit_reason, round(net_bps, 4) AS net_bps FROM maker")
@@ -85,7 +88,7 @@ def sim_maker_fill(spark, sf_dir):
   round(avg(CASE WHEN filled THEN CAST(exit_reason = 'tp' AS INT) END), 6) AS hit_filled, round(avg(CASE WHEN NOT filled THEN side * (pend / close - 1) * 10000 END), 4) AS missed_gross FROM maker GROUP BY stream""")
 def sim_maker_summary(spark, sf_dir):
     rows = orders(spark, sf_dir).withColumn("ok", F.col("filled"))
-    rows = rows.join(sided(spark, sf_dir).select("stream", "bar", F.lead("close", H).over(BY).alias("pend")), ["stream", "bar"])
+    rows = rows.join(sided(spark, sf_dir).select("stream", "bar", F.lead("close", H).over(by_bar()).alias("pend")), ["stream", "bar"])
     missed = F.when(~F.col("filled"), F.col("side") * (F.col("pend") / F.col("close") - 1) * X.BPS)
     return rounded(
         rows.groupBy("stream").agg(
@@ -112,7 +115,7 @@ def _one(tp: float, sl: float) -> str:
 def sim_param_grid(spark, sf_dir):
     """Each setting adds columns over one shared sort; results meet in one aggregation."""
     rows = sided(spark, sf_dir)
-    parts = [X.tp_sl(rows, "close", F.col("side"), H, tp, sl, TAKER, MAKER, BY).filter("side is not null").select(F.lit(tp).alias("tp"), F.lit(sl).alias("sl"), "net_bps", "exit_reason") for tp, sl in GRID]
+    parts = [X.tp_sl(rows, "close", F.col("side"), H, tp, sl, TAKER, MAKER, by_bar()).filter("side is not null").select(F.lit(tp).alias("tp"), F.lit(sl).alias("sl"), "net_bps", "exit_reason") for tp, sl in GRID]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -129,8 +132,8 @@ def sim_hysteresis_position(spark, sf_dir):
 
 
 def positions(spark, sf_dir):
-    follows = F.lead("bar").over(BY) - F.col("bar") == DAY
-    held = X.hysteresis(scored(spark, sf_dir), "score", 0.3, 0.09, follows, BY)
+    follows = F.lead("bar").over(by_bar()) - F.col("bar") == DAY
+    held = X.hysteresis(scored(spark, sf_dir), "score", 0.3, 0.09, follows, by_bar())
     pnl = F.when(F.col("position") != 0, F.col("position") * F.col("ret") * X.BPS).otherwise(0.0) - F.col("turnover") * TAKER
     return held.withColumn("pnl_bps", pnl)
 
@@ -145,7 +148,7 @@ def results(spark, sf_dir):
 @query(f"""WITH {PNL}, q AS (SELECT *, sum(pnl) OVER (PARTITION BY stream ORDER BY bar ROWS UNBOUNDED PRECEDING) AS equity FROM pnl), k AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY stream ORDER BY bar ROWS UNBOUNDED PRECEDING)) AS peak FROM q)
 SELECT stream, bar, {rsql('pnl', 'equity', 'peak', digits=4)}, round(equity - peak, 4) AS drawdown FROM k""")
 def equity_drawdown(spark, sf_dir):
-    return rounded(X.equity(results(spark, sf_dir), "pnl", BY).select("stream", "bar", "pnl", "equity", "peak", "drawdown"), 4)
+    return rounded(X.equity(results(spark, sf_dir), "pnl", by_bar()).select("stream", "bar", "pnl", "equity", "peak", "drawdown"), 4)
 
 
 @query(f"""WITH {PNL}, s AS (SELECT *, CAST(sign(pnl) AS INT) AS k FROM pnl), c AS (SELECT *, CASE WHEN k IS DISTINCT FROM lag(k) OVER w THEN 1 ELSE 0 END AS c FROM s {W}),
