@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..workers import reachable
 
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +34,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def reachable(spark: SparkSession) -> None:
-    """Lets Python workers started by a local session import this package from where it lies."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
-
-
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow: batches are bounded in rows and bytes, so memory doesn't follow the partition."""
     reachable(df.sparkSession)
     return df.mapInArrow(f, schema)
@@ -58,7 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
 def attach(docs: DataFrame, columns: dict[str, Column], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """map_batches with the whole row in a struct column ``doc``, apart from f's own columns, so that names can't clash."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(name) for name, c in columns.items()])
-    return map_batches(rows, f, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}")
+    return map_batches(rows, f, beside(rows.schema["doc"], schema))
+
+
+def beside(field: T.StructField, schema: str) -> T.StructType:
+    """A schema of the field and what the DDL names."""
+    return T.StructType([field, *T.StructType.fromDDL(schema).fields])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, n_words, texts, whole_key
+from .common import beside, cut, map_batches, n_words, texts, whole_key
 
 WEIGHTS = (3, 1, 2)
 KEY = ["key_id", "key_null", "key_text"]
@@ -182,7 +182,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     whole = F.col("passes") + F.when(F.col("last") >= F.col("size"), 1).otherwise(0)
     copies = rows.select("doc", F.explode(F.array_repeat(F.lit(1), whole.cast("int")))).select("doc.*")
     part = rows.filter("last > 0 and last < size").select("doc", F.col("doc").getField(text_col).cast("string").alias("text"), "last")
-    trimmed = map_batches(part, _lead, f"doc {part.schema['doc'].dataType.simpleString()}, cut string")
+    trimmed = map_batches(part, _lead, beside(part.schema["doc"], "cut string"))
     fields = []
     for c in docs.columns:
         own = F.col("cut") if c == text_col else F.char_length("cut").cast("long") if c == count_col else F.col("doc").getField(c)
