@@ -37,12 +37,12 @@ def ic_summary(daily: DataFrame, least: int) -> DataFrame:
 
 def average_precision(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
     """Sum over distinct scores, falling, of the recall gained times the precision there; null without both classes."""
-    by = rows.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count("*").alias("c"))
+    by = rows.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_c"))
     down = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    seen = by.withColumn("tp", F.sum("p").over(down)).withColumn("k", F.sum("c").over(down)).withColumn("all_p", F.sum("p").over(whole)).withColumn("all_c", F.sum("c").over(whole))
-    proper = (F.first("all_p") > 0) & (F.first("all_p") < F.first("all_c"))
-    return seen.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum("p").alias("positives"), F.when(proper, F.sum(F.col("p") / F.col("all_p") * F.col("tp") / F.col("k"))).alias("ap"))
+    seen = by.withColumn("_tp", F.sum("_p").over(down)).withColumn("_k", F.sum("_c").over(down)).withColumn("_all_p", F.sum("_p").over(whole)).withColumn("_all_c", F.sum("_c").over(whole))
+    proper = (F.first("_all_p") > 0) & (F.first("_all_p") < F.first("_all_c"))
+    return seen.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum("_p").alias("positives"), F.when(proper, F.sum(F.col("_p") / F.nullif("_all_p", F.lit(0)) * F.col("_tp") / F.col("_k"))).alias("ap"))
 
 
 def roc_auc(rows: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
