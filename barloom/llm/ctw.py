@@ -66,7 +66,7 @@ def spread(zero: np.ndarray) -> np.ndarray:
     out = np.zeros((len(zero), 256))
     for j in range(8):
         p = zero[:, (1 << j) - 1 : (1 << (j + 1)) - 1]
-        both = np.log10(np.stack([p, 1 - p], -1)).reshape(len(zero), -1)
+        both = np.log10(np.stack([p, 1 - p], -1)).reshape(len(zero), 2 << j)
         out += np.repeat(both, 1 << (7 - j), axis=1)
     return out
 

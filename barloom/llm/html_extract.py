@@ -1,7 +1,8 @@
 """Main text of web pages: the contiguous run of words and tags with the largest sum.
 
 A page is read once into words and tags. Words outside boilerplate score positive, tags and words of
-links and boilerplate negative; Kadane's linear scan finds the best run. Weights are log odds learned
+links and boilerplate negative (tags inside boilerplate don't count); Kadane's linear scan finds the
+best run. Weights are log odds learned
 from labelled pages: those that mark their content by exactly one ``article`` element, at most
 ``most`` of them, taken by the least seeded hash of their id. Text of the run is kept by blocks;
 blocks in boilerplate elements that lie inside the run (forms, asides, comments, adverts) are left out.
@@ -41,7 +42,7 @@ END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 
 Weights = dict[str, float]
 #: Weights before any page is seen.
-START: Weights = {"word": 1.0, "linked": -1.0, "boiler": -2.0, "tag": -1.0}
+START: Weights = {"word": 1.0, "linked": -1.0, "boiler": -0.5, "tag": -1.0}
 
 
 class Page:
@@ -102,7 +103,7 @@ class Page:
                 self._close(apart > 0)
             elif name in SPACED:
                 self._parts.append(" ")
-            if not hidden:
+            if not hidden and not apart:
                 self.items.append((f"/{name}" if closing else name, 0, -1))
             if closing:
                 if name == "article" and start is not None:
@@ -178,7 +179,7 @@ def learn(seen: Counter) -> Weights:
     def odds(kind: str, totals: list[int]) -> float:
         return math.log((seen[kind, True] + 0.5) / totals[1]) - math.log((seen[kind, False] + 0.5) / totals[0])
 
-    out = {"word": max(0.5, odds("word", words)), "linked": min(-0.5, odds("linked", words)) if any(seen["linked", s] for s in (True, False)) else START["linked"], "boiler": max(-2.0, min(-0.5, odds("boiler", words))), "tag": START["tag"]}
+    out = {"word": max(0.5, odds("word", words)), "linked": min(-0.5, odds("linked", words)) if any(seen["linked", s] for s in (True, False)) else START["linked"], "boiler": max(-0.5, min(-0.1, odds("boiler", words))), "tag": START["tag"]}
     return out | {k: max(-3.0, min(-0.05, odds(k, tags))) for k in kinds if k not in out}
 
 
