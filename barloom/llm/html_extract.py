@@ -30,10 +30,17 @@ from .common import map_batches
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select button audio video map".split())
 RAW = frozenset("script style textarea title".split())
-BOILER = frozenset("nav header footer aside form menu dialog".split())
+BOILER = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+MARKS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|alerts?|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|paywall|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    re.I,
+)
+#: Headers of a page; those of an article hold its title.
+HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
 ITEM = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z|(?=<))", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -127,9 +134,10 @@ class Page:
                 if top is not None and stack[top][0] == name:
                     leave(top)
             marks = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
-            hides = name in UNSEEN or bool(HIDDEN.search(rest.replace('"', " "))) or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
-            called = f"{marks.get('class', '')} {marks.get('id', '')}"
-            boiler = name in BOILER or (name not in ("html", "body", "article", "main") and bool(MARKS.search(called))) or bool(ROLES.fullmatch(marks.get("role", "")))
+            hides = name in UNSEEN or bool(HIDDEN.search(QUOTED.sub("", rest))) or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "")
+            called = CAMEL.sub("-", f"{marks.get('class', '')} {marks.get('id', '')}")
+            inside = any(x[0] in ("article", "main") for x in stack)
+            boiler = name in BOILER or (name not in ("html", "body", "article", "main") and bool(MARKS.search(called))) or bool(ROLES.fullmatch(marks.get("role", ""))) or (not inside and (name == "header" or bool(HEAD.search(called))))
             stack.append((name, int(hides), int(boiler)))
             hidden, apart, links = hidden + hides, apart + boiler, links + (name == "a")
         self._close(apart > 0)

@@ -409,6 +409,8 @@ def test_html_cases():
     assert text("<nav><a href=x>a b</a></nav><article><h1>T &amp; U</h1><p>one <b>two</b>\n three<br>four<p>five six</article><footer>f g</footer>") == "T & U\none two three four\nfive six"
     assert text("<p>keep this one<div class='ad'>buy now</div><p>and this<form>name <input></form><aside>more</aside><p>last") == "keep this one\nand this\nlast"
     assert text("<article><p>a b<script>if (a < b) { x('</p>') }</script> c<style>p{}</style></p><div id=comments><p>nice post</p></div></article>") == "a b c"
+    assert text("<header><h1>Site name here</h1></header><main><header class=entry-header><h1>Title of it</h1></header><p title='hidden gems'>body text<p hidden>secret</main>") == "Title of it\nbody text"
+    assert text("<div id='siteNav'>a b c</div><p>one two three</p><div class='cookieNotice'>we use</div>") == "one two three"
     assert text("") == "" and text("<html><body></body></html>") == "" and text("no tags at all") == "no tags at all"
     assert text("<p>cut off &amp &lt;b&gt; <b") == "cut off & <b>"
 
