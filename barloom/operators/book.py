@@ -77,6 +77,8 @@ def order_flow(quotes: DataFrame, keys: tuple[str, ...], order: str, bid: str, a
     b = F.when(F.col(bid) >= lag(bid), F.col(bid_qty)).otherwise(0.0) - F.when(F.col(bid) <= lag(bid), lag(bid_qty)).otherwise(0.0)
     a = F.when(F.col(ask) <= lag(ask), F.col(ask_qty)).otherwise(0.0) - F.when(F.col(ask) >= lag(ask), lag(ask_qty)).otherwise(0.0)
     moved = (F.col(bid) != lag(bid)).cast("int"), (F.col(ask) != lag(ask)).cast("int")
+    # a best price that moves away from the mid means that its old level is gone
+    quotes = quotes.withColumn("bid_depleted", F.coalesce((F.col(bid) < lag(bid)).cast("int"), F.lit(0))).withColumn("ask_depleted", F.coalesce((F.col(ask) > lag(ask)).cast("int"), F.lit(0)))
     return quotes.withColumn("ofi", F.coalesce(b - a, F.lit(0.0))).withColumn("bid_moved", F.coalesce(moved[0], F.lit(0))).withColumn("ask_moved", F.coalesce(moved[1], F.lit(0)))
 
 

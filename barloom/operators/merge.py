@@ -193,3 +193,8 @@ def candles(bars: DataFrame, width: int, price: str = "hybrid", keys: tuple[str,
     return rows.groupBy(*keys, "out").agg(
         first.alias("open"), F.greatest(F.max("inner"), first, last).alias("high"), F.least(F.min("inner"), first, last).alias("low"), last.alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n")
     )
+
+
+def resample_right(rows: DataFrame, width: int, value: str, keys: tuple[str, ...] = ("stream",), ts: str = "bar") -> DataFrame:
+    """Last value of each window that is closed and labelled on the right: a row on the edge belongs to the window it ends."""
+    return rows.groupBy(*keys, (F.ceil(F.col(ts) / width) * width).cast("long").alias("label")).agg(F.max_by(value, ts).alias(value))

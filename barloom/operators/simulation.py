@@ -243,3 +243,34 @@ def gate(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
     for name in tests:
         ok = ok & F.col(name)
     return out.withColumn("passed", ok)
+
+
+def equity_metrics(rows: DataFrame, pnl: str, keys: list[str], ts: str, start: float, bars_a_year: float) -> DataFrame:
+    """Final equity from a starting capital, largest drawdown in percent of its peak, annual Sharpe, Calmar."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    curve = rows.filter(F.col(pnl).isNotNull()).withColumn("_e", F.lit(start) + running(pnl, w))
+    curve = curve.withColumn("_p", F.greatest(F.lit(start), running("_e", w, F.max)))
+    got = curve.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(pnl).alias("total"), F.max((F.col("_p") - F.col("_e")) / F.col("_p") * 100).alias("max_drawdown_pct"), F.avg(pnl).alias("_m"), F.stddev_pop(pnl).alias("_s"))
+    out = got.withColumn("sharpe", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(F.lit(bars_a_year))))
+    return out.withColumn("calmar", F.when(F.col("max_drawdown_pct") > 0, F.col("total") / F.lit(start) * 100 / F.col("max_drawdown_pct"))).drop("_m", "_s")
+
+
+def routed(maker: DataFrame, taker: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Hybrid routing: the taker's result where the quick score agrees with the side, else the maker's."""
+    both = maker.select(*keys, "side", F.col("net_bps").alias("maker_bps"), "filled").join(taker.select(*keys, F.col(score).alias("_q"), F.col("net_bps").alias("taker_bps")), keys)
+    take = F.col("_q") * F.col("side") > 0
+    return both.withColumn("route", F.when(take, "taker").otherwise("maker")).withColumn("net_bps", F.when(take, F.col("taker_bps")).otherwise(F.col("maker_bps"))).drop("_q")
+
+
+def even_sample(rows: DataFrame, keys: list[str], ts: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each key at an even step: a report's sample."""
+    w = Window.partitionBy(*keys)
+    numbered = rows.withColumn("_k", F.row_number().over(w.orderBy(ts)) - 1).withColumn("_n", F.count("*").over(w))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(most)))
+    return numbered.filter(F.col("_k") % step == 0).drop("_k", "_n")
+
+
+def weighted_sample(rows: DataFrame, weight: str, n: int, id_col: str, seed: int = 0) -> DataFrame:
+    """n rows by weight without replacement: the largest u ** (1 / weight), u from a seeded hash of the id."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    return rows.filter(F.col(weight) > 0).withColumn("_u", F.log(u) / F.col(weight)).orderBy(F.col("_u").desc(), id_col).limit(n).drop("_u")

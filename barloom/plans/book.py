@@ -72,8 +72,8 @@ def book_microprice(spark, sf_dir):
 
 
 @query(f"""WITH {TAPE}, q AS (SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa, lag(qty) OVER w AS pq FROM tape WINDOW w AS (PARTITION BY stream, bar ORDER BY seq)),
-o AS (SELECT stream, bar, coalesce(CASE WHEN pb IS NOT NULL THEN (CASE WHEN bid >= pb THEN qty ELSE 0 END) - (CASE WHEN bid <= pb THEN pq ELSE 0 END) - (CASE WHEN ask <= pa THEN qty ELSE 0 END) + (CASE WHEN ask >= pa THEN pq ELSE 0 END) END, 0) AS ofi, coalesce(CAST(bid <> pb AS INT), 0) AS bm, coalesce(CAST(ask <> pa AS INT), 0) AS am FROM q)
-SELECT stream, bar, round(sum(ofi), 6) AS ofi, CAST(sum(bm) AS BIGINT) AS bid_moved, CAST(sum(am) AS BIGINT) AS ask_moved FROM o GROUP BY stream, bar""")
+o AS (SELECT stream, bar, coalesce(CASE WHEN pb IS NOT NULL THEN (CASE WHEN bid >= pb THEN qty ELSE 0 END) - (CASE WHEN bid <= pb THEN pq ELSE 0 END) - (CASE WHEN ask <= pa THEN qty ELSE 0 END) + (CASE WHEN ask >= pa THEN pq ELSE 0 END) END, 0) AS ofi, coalesce(CAST(bid <> pb AS INT), 0) AS bm, coalesce(CAST(ask <> pa AS INT), 0) AS am, coalesce(CAST(bid < pb AS INT), 0) AS bd, coalesce(CAST(ask > pa AS INT), 0) AS ad FROM q)
+SELECT stream, bar, round(sum(ofi), 6) AS ofi, CAST(sum(bm) AS BIGINT) AS bid_moved, CAST(sum(am) AS BIGINT) AS ask_moved, CAST(sum(bd) AS BIGINT) AS bid_depleted, CAST(sum(ad) AS BIGINT) AS ask_depleted FROM o GROUP BY stream, bar""")
 def book_ofi(spark, sf_dir):
     from ..operators.bars import with_bar
     from ..sources.tables import DAY
@@ -81,7 +81,7 @@ def book_ofi(spark, sf_dir):
     flow = K.order_flow(with_bar(tape(spark, sf_dir), DAY), ("stream", "bar"), "seq", "bid", "ask", "qty", "qty")
     first = F.row_number().over(along("stream", "bar", by="seq")) == 1
     flow = flow.withColumn("ofi", F.when(first, 0.0).otherwise(F.col("ofi")))
-    return rounded(flow.groupBy("stream", "bar").agg(F.sum("ofi").alias("ofi"), F.sum("bid_moved").alias("bid_moved"), F.sum("ask_moved").alias("ask_moved")))
+    return rounded(flow.groupBy("stream", "bar").agg(F.sum("ofi").alias("ofi"), *[F.sum(c).alias(c) for c in ("bid_moved", "ask_moved", "bid_depleted", "ask_depleted")]))
 
 
 @query(f"""WITH {CHANGES}, d AS (SELECT *, qty - coalesce(lag(qty) OVER (PARTITION BY book, side, price ORDER BY seq), 0) AS d, abs(price - 1000.25) / 1000.25 * 100 AS p FROM changes)
