@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, keys: tuple[str, ...], ts: str) -> DataFrame:
-    """Adds i, the place in time from 0."""
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1)
+def numbered(rows: DataFrame, keys: tuple[str, ...], ts: str, chunk: int = 30 * 86_400) -> DataFrame:
+    """Adds i, the place in time from 0: the place within a chunk of time, after the rows of earlier chunks.
+
+    One long history is so never sorted in one task; the table of chunks has a row for each.
+    """
+    cut = rows.withColumn("_c", F.floor(F.col(ts) / chunk))
+    by = [*keys, "_c"]
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = cut.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, before.alias("_before"))
+    inside = cut.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(ts)) - 1)
+    return inside.join(chunks, by).withColumn("i", F.col("_before") + F.col("_k")).select(*rows.columns, "i")
 
 
 def walk_forward(rows: DataFrame, keys: tuple[str, ...], folds: int, start: float, step: float, purge: int, val_share: float) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import class_weights, standardised
+from .folds import class_weights, numbered, standardised
 from .stats import accuracy_lift
 
 
@@ -65,10 +65,10 @@ def windows(n: int, train: int, test: int, step: int) -> list[tuple[int, int, in
 
 def rolling(rows: DataFrame, ts: str, features: list[str], label: str, train: int, test: int, step: int, fit=logistic) -> DataFrame:
     """Accuracy, majority share and lift in each rolling window; rows are numbered once, each window is a range."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(ts)) - 1).cache()
+    placed = numbered(rows, (), ts).cache()
     out = None
-    for k, (a, m, z) in enumerate(windows(numbered.count(), train, test, step)):
-        part = fit(numbered.filter((F.col("_i") >= a) & (F.col("_i") < m)), numbered.filter((F.col("_i") >= m) & (F.col("_i") < z)), features, label)
+    for k, (a, m, z) in enumerate(windows(placed.count(), train, test, step)):
+        part = fit(placed.filter((F.col("i") >= a) & (F.col("i") < m)), placed.filter((F.col("i") >= m) & (F.col("i") < z)), features, label)
         got = accuracy_lift(part, label, "guess").withColumn("window", F.lit(k))
         out = got if out is None else out.unionByName(got)
     return out
@@ -82,8 +82,8 @@ def by_regime(rows: DataFrame, regime: str, regimes: list[str], ts: str, feature
         n = part.count()
         if n < 20:
             continue
-        numbered = part.withColumn("_i", F.row_number().over(Window.partitionBy(regime).orderBy(ts)))
+        placed = numbered(part, (), ts)
         cut = int(share * n)
-        got = accuracy_lift(fit(numbered.filter(F.col("_i") <= cut), numbered.filter(F.col("_i") > cut), features, label), label, "guess").withColumn("regime", F.lit(name))
+        got = accuracy_lift(fit(placed.filter(F.col("i") < cut), placed.filter(F.col("i") >= cut), features, label), label, "guess").withColumn("regime", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out

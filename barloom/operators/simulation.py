@@ -129,18 +129,24 @@ def sweep(rows: DataFrame, confidence: str, pnl: str, price: str, thresholds: li
     return each.groupBy("threshold").agg(F.count("*").alias("n"), F.sum(pnl).alias("gross"), fee(maker_bps).alias("net_maker"), fee(taker_bps).alias("net_taker"), F.avg((F.col(pnl) > 0).cast("int")).alias("win_rate"))
 
 
-def trailing_thresholds(rows: DataFrame, score: str, day: str, window_days: int, rate: float, least: int, keys: list[str]) -> DataFrame:
-    """For each day the (1 - rate) quantile of the scores of the days before it: the last ``window_days``, or all if those are too few."""
+def trailing_thresholds(rows: DataFrame, score: str, day: str, step: int, window: int, rate: float, least: int, keys: list[str]) -> DataFrame:
+    """For each day the (1 - rate) quantile of the scores of the days before it: the last ``window`` of them, or all if those scores are too few.
+
+    Days are ``step`` apart in the day column. A score is dealt to the ``window`` days after it, so the
+    join is by equality and rows grow by that factor alone. Only days short of scores look at all the past.
+    """
     days = rows.select(*keys, F.col(day).alias("_d")).distinct()
     past = rows.filter(F.col(score).isNotNull()).select(*keys, F.col(day).alias("_p"), F.col(score).alias("_s"))
-    near = days.join(past, [*[days[k] == past[k] for k in keys], past["_p"] < days["_d"], past["_p"] >= days["_d"] - window_days] if not keys else keys)
-    near = near.filter((F.col("_p") < F.col("_d")) & (F.col("_p") >= F.col("_d") - window_days)) if keys else near
     q = F.lit(1 - rate)
-    close = near.groupBy(*keys, "_d").agg(F.count("*").alias("n_near"), F.percentile("_s", q).alias("_near"))
-    short = days.join(close, [*keys, "_d"], "left").filter(F.coalesce("n_near", F.lit(0)) < least)
-    far = short.select(*keys, "_d").join(past, keys).filter(F.col("_p") < F.col("_d")).groupBy(*keys, "_d").agg(F.count("*").alias("n_all"), F.percentile("_s", q).alias("_all"))
-    joined = days.join(close, [*keys, "_d"], "left").join(far, [*keys, "_d"], "left")
-    return joined.select(*keys, F.col("_d").alias(day), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.coalesce("n_near", F.lit(0)) >= least, F.col("_near")).otherwise(F.col("_all")).alias("threshold"))
+    dealt = past.select(*keys, "_s", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("_k"), "_p").select(*keys, "_s", (F.col("_p") + F.col("_k") * step).alias("_d"))
+    close = dealt.join(days, [*keys, "_d"], "left_semi").groupBy(*keys, "_d").agg(F.count("*").alias("n_near"), F.percentile("_s", q).alias("_near"))
+    known = days.join(close, [*keys, "_d"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    short = known.filter(F.col("n_near") < least).select(*keys, "_d")
+    # joined on the keys alone, since every earlier score counts: few days are short
+    on = [short[k] == past[k] for k in keys]
+    far = short.join(past, [*on, past["_p"] < short["_d"]]).groupBy(*[short[k] for k in keys], "_d").agg(F.percentile("_s", q).alias("_all"))
+    joined = known.join(far, [*keys, "_d"], "left")
+    return joined.select(*keys, F.col("_d").alias(day), "n_near", F.when(F.col("n_near") >= least, F.col("_near")).otherwise(F.col("_all")).alias("threshold"))
 
 
 def by_key_in_order(rows: DataFrame, keys: tuple[str, ...], order: str, step, schema: str, columns: list[str]) -> DataFrame:

@@ -204,7 +204,7 @@ TRIG = f"""{SCORED}, trig AS (SELECT *, count(score) OVER near AS n_near, CASE W
 
 
 def triggers(spark, sf_dir):
-    return X.trailing_thresholds(scored(spark, sf_dir), "score", "bar", MONTH, 0.1, 20, ["stream"])
+    return X.trailing_thresholds(scored(spark, sf_dir), "score", "bar", DAY, MONTH // DAY, 0.1, 20, ["stream"])
 
 
 @query(f"WITH {TRIG} SELECT stream, bar, n_near, round(threshold, 6) AS threshold FROM trig")
