@@ -26,11 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, state, texts
 
 #: Letters and signs for which normalising is lower-casing: printable ASCII and Latin-1 letters.
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-REMEMBERED = 400_000
+#: Words remembered, and a quarter as many fragments.
+REMEMBERED = 250_000
 INFINITE = 1 << 60
 
 
@@ -118,7 +119,7 @@ class Encoder:
         if found is None:
             found = self._merge(ids)
             if len(key) <= 32:
-                if len(self.fragments) >= REMEMBERED:
+                if len(self.fragments) >= REMEMBERED // 4:
                     self.fragments.clear()
                 self.fragments[key] = found
         return found
@@ -171,17 +172,8 @@ class Encoder:
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _batches(batches: Iterator[pa.RecordBatch], path: str, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+    enc = state(("bpe", path), lambda: Encoder(path))
     for b in batches:
         ids, rows = b.column("id"), texts(b)
         start = 0

@@ -48,10 +48,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(docs: DataFrame, columns: dict[str, Column], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """map_batches with the whole row in a struct column ``doc``, apart from f's own columns, so that names can't clash."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(name) for name, c in columns.items()])
-    return map_batches(rows, f, beside(rows.schema["doc"], schema))
+def attach(docs: DataFrame, columns: dict[str, tuple[str, pa.DataType]], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """map_batches with the whole row in a struct column ``doc``, apart from f's own columns, so that names can't clash.
+
+    columns: name for f, the row's column and its type; they are taken from the struct, so nothing travels twice.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    places = {name: (docs.columns.index(c), kind) for name, (c, kind) in columns.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def with_columns(b: pa.RecordBatch) -> pa.RecordBatch:
+            doc = b.column("doc")
+            return pa.RecordBatch.from_arrays([doc, *(doc.field(k).cast(kind) for k, kind in places.values())], names=["doc", *places])
+
+        return f(map(with_columns, batches))
+
+    return map_batches(rows, run, beside(rows.schema["doc"], schema))
 
 
 def beside(field: T.StructField, schema: str) -> T.StructType:
@@ -74,6 +86,17 @@ def whole_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(i, F.lit(0)).alias("key_id"), i.isNull().alias("key_null"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("key_text")]
 
 
+_state: dict = {}
+
+
+def state(key: object, make: Callable[[], object]) -> object:
+    """What an operator remembers in a Python worker from task to task; another operator's memory makes way for it."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -21,30 +21,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, map_batches, texts
+from .common import attach, map_batches, state, texts
 
 BITS = 18
 REMEMBERED = 300_000
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-_known: dict[bytes, tuple[int, int]] = {}
 
 
-def _hashes(word: bytes) -> tuple[int, int]:
-    found = _known.get(word)
-    if found is None:
-        found = zlib.crc32(word), zlib.crc32(_RUN.sub(rb"\1", word.translate(_SHAPE)))
-        if len(word) <= 64:
-            if len(_known) >= REMEMBERED:
-                _known.clear()
-            _known[word] = found
+def _hashes(word: bytes, known: dict[bytes, tuple[int, int]]) -> tuple[int, int]:
+    found = zlib.crc32(word), zlib.crc32(_RUN.sub(rb"\1", word.translate(_SHAPE)))
+    if len(word) <= 64:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[word] = found
     return found
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text, places ascending."""
-    known = _known
-    pairs = [known.get(w) or _hashes(w) for w in text.encode("utf-8", "surrogatepass").split()]
+    known = state("classifier", dict)
+    pairs = [known.get(w) or _hashes(w, known) for w in text.encode("utf-8", "surrogatepass").split()]
     if not pairs:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     w, s = np.array(pairs, dtype=np.uint64).T
@@ -136,7 +133,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that score at least ``least``, with their columns."""
-    scored = attach(docs, {"text": F.col(text_col).cast("string")}, lambda it: _score(it, model, "doc"), "score double")
+    scored = attach(docs, {"text": (text_col, pa.string())}, lambda it: _score(it, model, "doc"), "score double")
     return scored.filter(F.col("score") >= least).select("doc.*")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, map_batches, texts
+from .common import attach, cut, map_batches, state, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -96,13 +96,8 @@ def split_words(text: str) -> list[str]:
     return text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w.decode() for w in text.encode().split()]
 
 
-_cutters: dict[str, Cutter] = {}
-
-
 def _measure(batches: Iterator[pa.RecordBatch], path: str, carried: tuple[str, ...] = ("id", "lang")) -> Iterator[pa.RecordBatch]:
-    if path not in _cutters:
-        _cutters[path] = Cutter(path)
-    cutter = _cutters[path]
+    cutter = state(("cutter", path), lambda: Cutter(path))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens"]
     for b in batches:
         rows = texts(b)
@@ -189,7 +184,7 @@ def keep(docs: DataFrame, path: str | None = None, bands: Bands = Bands(), text_
     """The documents that pass, with their columns; texts are measured twice rather than shuffled or stored."""
     path = path or default_path()
     learned = learn_bands(measures(docs, path, text_col, id_col, lang_col), bands)
-    columns = {"lang": F.col(lang_col).cast("string"), "text": F.col(text_col).cast("string")}
+    columns = {"lang": (lang_col, pa.string()), "text": (text_col, pa.string())}
     measured = attach(docs, columns, lambda it: _measure(it, path, ("doc", "lang")), f"lang string, {FIGURES}")
     return judge(derived(measured), learned, bands).filter("kept").select("doc.*")
 

@@ -193,7 +193,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
             fp = np.array([fingerprint(t, shingle) for t in texts(b, "text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(fp)], names=["doc", "id", "fp"])
 
-    columns = {"id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}
+    columns = {"id": (id_col, pa.int64()), "text": (text_col, pa.string())}
     rows = attach(docs, columns, run, "id long, fp long").select("doc", *keys)
     return rows.join(first.select(*keys), names, "left_semi").dropDuplicates(names).select("doc.*")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, state, texts
 
 MARK = "▁"
 PENALTY = 10.0
@@ -100,13 +100,8 @@ class Counter:
         return len(found), sum(tokens), sum(bare), float(sum(score))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    if path not in _counters:
-        _counters[path] = Counter(vocabulary(path))
-    counter = _counters[path]
+    counter = state(("unigram", path), lambda: Counter(vocabulary(path)))
     for b in batches:
         got = [counter.text(t) for t in texts(b)]
         columns = list(zip(*got, strict=True)) if got else [[]] * 4
