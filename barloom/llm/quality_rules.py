@@ -146,7 +146,7 @@ def measures(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "
 
 def learn_bands(measured: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
     """Bands by (group, length) and by length over all groups, as tables of a row for each class."""
-    points = measured.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct()
+    points = cut(measured.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct())
     quarters = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), 10000).alias(c[0]) for c in ("chars_per_token", "entropy")]
 
     def scaled(keys: list[str], tag: str) -> DataFrame:
