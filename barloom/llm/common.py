@@ -48,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A materialised table, sent to every task if it has at most ``most`` rows; beyond that Spark picks the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def attach(docs: DataFrame, columns: dict[str, tuple[str, pa.DataType]], f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """map_batches with the whole row in a struct column ``doc``, apart from f's own columns, so that names can't clash.
 

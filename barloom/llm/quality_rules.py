@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, map_batches, state, texts
+from .common import attach, cut, map_batches, small, state, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -158,8 +158,8 @@ def learn_bands(measured: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame
 
 
 def judge(measured: DataFrame, learned: tuple[DataFrame, DataFrame], bands: Bands) -> DataFrame:
-    """Adds kept."""
-    seen = measured.join(learned[0], ["group", "length"], "left").join(learned[1], "length", "left")
+    """Adds kept. Bands have a row a class: sent to every task, no text moves and no large class meets in one task."""
+    seen = measured.join(small(learned[0]), ["group", "length"], "left").join(small(learned[1]), "length", "left")
     pick = lambda c: F.coalesce(F.col(c), F.col(f"{c}_all"))
     c = (F.col("chars_per_token") - pick("c_mid")) / pick("c_scale")
     e = (F.col("entropy") - pick("e_mid")) / pick("e_scale")
