@@ -24,7 +24,7 @@ def plain(x):
     if x is None or isinstance(x, str):
         return ("", x or "")
     x = float(x)
-    return ("", "") if math.isnan(x) else (round(x, 5), "")
+    return ("", "") if math.isnan(x) else (round(x, 5) + 0.0, "")
 
 
 def same(a, b):
