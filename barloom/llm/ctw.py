@@ -6,9 +6,11 @@ that context-tree weighting gives them after the training texts: a node keeps it
 half its prior weight, its children share the other half. The mixture is then fixed and every text is
 coded with it: score is log10 of the text's probability, its last symbol being the end of the text.
 
-Contexts seen in fewer than 1 in ``crowd`` training bytes are not kept apart: under each kept context
-they form one further child, so at most ``crowd`` contexts exist for a depth, whatever the corpus,
-and the model's size has a proven bound. Counts themselves cover all training bytes.
+No context is left out: the tree grows with the corpus and is a distributed table. Windows (a context of
+``depth`` bytes, then its symbol) are dealt by their last ``SHARED`` context bytes, so a task has whole
+subtrees; the nodes above, of at most 256 ** SHARED contexts, are mixed on the driver. The table has the
+windows of all texts, those without training counts too, so each window of a text meets its code. The
+most common ``crowd`` windows go to every task, the others meet their codes in a join.
 
 The base score is a smoothed unigram model over words. Words seen in at least 1 in ``frequent``
 training tokens (so at most ``frequent`` of them) go to every task; the others meet their counts in a
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches, texts
 
-WORD, GRAM = 0, 1
+WORD, GRAM, UNTRAINED = 0, 1, 2
 #: The key of a text's end among words: no word hashes from an empty string.
 END = int(np.uint64(xxhash.xxh64_intdigest(b"")).astype(np.int64))
 #: Counts held in a task before they are handed on, windows counted at once, log10 steps of a code.
-HELD, WINDOWS, UNIT = 400_000, 1 << 22, 1 << 24
+HELD, WINDOWS, UNIT = 400_000, 1 << 18, 1 << 24
+#: Context bytes whose subtrees stay together, windows of subtrees taken at once, the multiplier of the window table's hash, its empty slot (UTF-8 has no byte 255).
+SHARED, SUBTREE, MIX, EMPTY = 2, 1 << 16, np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -71,9 +75,116 @@ def spread(zero: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Level:
+    """Decision nodes that occur under contexts of one length (context << 8 | node, ascending), their counts and ln of their weighted probability; up: places in the level above."""
+
+    nodes: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    logs: np.ndarray
+    up: np.ndarray | None = None
+
+    def mixed(self, told: np.ndarray, left: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a zero told so far, and the weight left to longer contexts."""
+        share = 1.0 if last else np.exp(np.minimum(0.0, estimate(self.zeros, self.ones) - math.log(2) - self.logs))
+        return told + left * share * (self.zeros + 0.5) / (self.zeros + self.ones + 1), left * (1 - share)
+
+
+def lowest(keys: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray]:
+    """The level of the longest contexts, and the places of each window's eight nodes."""
+    context, symbol = keys >> np.uint64(8) << np.uint64(8), keys & np.uint64(255)
+    every = np.concatenate([context | np.uint64(1 << j) | symbol >> np.uint64(8 - j) for j in range(8)])
+    one = np.concatenate([symbol >> np.uint64(7 - j) & np.uint64(1) for j in range(8)]).astype(bool)
+    found, where = np.unique(every, return_inverse=True)
+    times = np.tile(n.astype(np.float64), 8)
+    zeros, ones = (np.bincount(where, weights=times * x, minlength=len(found)) for x in (~one, one))
+    return Level(found, zeros, ones, estimate(zeros, ones)), where.reshape(8, -1)
+
+
+def raised(level: Level, d: int) -> Level:
+    """The level of contexts of d bytes above that of d + 1."""
+    found, level.up = np.unique(level.nodes & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+    zeros, ones, split = (np.bincount(level.up, weights=x, minlength=len(found)) for x in (level.zeros, level.ones, level.logs))
+    return Level(found, zeros, ones, np.logaddexp(estimate(zeros, ones), split) - math.log(2))
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, low: int) -> tuple[list[Level], np.ndarray]:
+    """Levels from ``depth`` up to ``low`` for windows that make up whole subtrees."""
+    level, where = lowest(keys, n)
+    levels = [level]
+    for d in range(depth - 1, low - 1, -1):
+        levels.append(raised(levels[-1], d))
+    return levels, where
+
+
+def above(level: Level, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts shorter than ``low`` tell of each node of that level, and the weight they leave."""
+    levels = [level]
+    for d in range(low - 1, -1, -1):
+        levels.append(raised(levels[-1], d))
+    told, left = np.zeros(len(levels[-1].nodes)), np.ones(len(levels[-1].nodes))
+    for k in range(low, 0, -1):
+        told, left = levels[k].mixed(told, left, False)
+        told, left = told[levels[k - 1].up], left[levels[k - 1].up]
+    return told, left
+
+
+def coded(keys: np.ndarray, levels: list[Level], where: np.ndarray, told: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 in units of each window's symbol after its context."""
+    for k in range(len(levels) - 1, -1, -1):
+        told, left = levels[k].mixed(told, left, k == 0)
+        if k:
+            told, left = told[levels[k - 1].up], left[levels[k - 1].up]
+    zero = np.clip(told, 1e-12, 1 - 1e-12)[where]
+    one = np.stack([keys >> np.uint64(7 - j) & np.uint64(1) for j in range(8)]).astype(bool)
+    return np.rint(np.log10(np.where(one, 1 - zero, zero)).sum(0) * UNIT).astype(np.int32)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, n, m) of runs of whole subtrees; rows come sorted by top."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < SUBTREE:
+            continue
+        whole = pa.Table.from_batches(held)
+        top = whole.column("top").to_numpy()
+        end = int(np.searchsorted(top, top[-1]))
+        held = whole.slice(end).combine_chunks().to_batches()
+        if end:
+            yield _windows_of(whole.slice(0, end))
+    if held:
+        yield _windows_of(pa.Table.from_batches(held))
+
+
+def _windows_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, n, m = (rows.column(c).to_numpy() for c in ("key", "n", "m"))
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    return key[order], n[order], m[order]
+
+
+def _tops(batches: Iterator[pa.RecordBatch], depth: int, low: int) -> Iterator[pa.RecordBatch]:
+    for keys, n, _ in _subtrees(batches):
+        level = subtree(keys, n, depth, low)[0][-1]
+        yield pa.RecordBatch.from_arrays([pa.array(level.nodes.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.logs)], names=["node", "zeros", "ones", "logs"])
+
+
+def _codes(batches: Iterator[pa.RecordBatch], depth: int, low: int, shared) -> Iterator[pa.RecordBatch]:
+    tops, told, left = shared.value
+    for keys, n, m in _subtrees(batches):
+        levels, where = subtree(keys, n, depth, low)
+        at = np.searchsorted(tops, levels[-1].nodes)
+        code = coded(keys, levels, where, told[at], left[at])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m), pa.array(code)], names=["key", "m", "code"])
+
+
 @dataclass
 class Model:
-    """child[row, byte]: the row of the context one byte longer, or -1; code: log10 in units, by row and byte."""
+    """A tree held in memory. child[row, byte]: the row of the context one byte longer, or -1; code: log10 in units, by row and byte."""
 
     depth: int
     child: np.ndarray
@@ -141,21 +252,31 @@ def chunked(rows: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def grams(rows: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct windows of depth + 1 bytes (context, then symbol) and their counts."""
+def windows(rows: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of depth + 1 bytes (context, then symbol) and the places of their texts, in runs of a bounded size."""
+    base = 0
     for part in chunked(rows, WINDOWS):
         flat, starts = stream(part, depth)
-        keep = np.zeros(len(flat) + 1, dtype=np.int32)
         sizes = np.array([len(r) + 1 for r in part])
-        np.add.at(keep, starts, 1)
-        np.add.at(keep, starts + sizes, -1)
-        at = np.flatnonzero(np.cumsum(keep[:-1]))
-        for s in range(0, len(at), WINDOWS):
-            some = at[s : s + WINDOWS]
-            key = np.zeros(len(some), dtype=np.uint64)
+        for s in range(depth, len(flat), WINDOWS):
+            at = np.arange(s, min(s + WINDOWS, len(flat)))
+            first, last = np.searchsorted(starts, [s, s + len(at)], "left")
+            text = np.zeros(len(at), dtype=np.int64)
+            text[starts[first:last] - s] = 1
+            text = np.cumsum(text) + (first - 1)
+            inside = at - starts[text] < sizes[text]
+            at, text = at[inside], text[inside]
+            key = np.zeros(len(at), dtype=np.uint64)
             for k in range(depth, -1, -1):
-                key = key << np.uint64(8) | flat[some - k]
-            yield np.unique(key, return_counts=True)
+                key = key << np.uint64(8) | flat[at - k]
+            yield key, text + base
+        base += len(part)
+
+
+def grams(rows: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct windows and their counts."""
+    for key, _ in windows(rows, depth):
+        yield np.unique(key, return_counts=True)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +286,7 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], UNTRAINED: []}
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
@@ -177,53 +298,98 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         return out
 
     for b in batches:
-        got = [t.encode("utf-8", "surrogatepass").lower() for t in texts(b)]
-        for t in got:
-            seen.update(t.split())
-            seen[b""] += 1
-            if len(seen) > HELD:
-                yield told()
-        for part in grams(got, depth):
-            parts.append(part)
-            if sum(len(k) for k, _ in parts) > 4 * HELD:
-                parts = [summed(parts)]
-                if len(parts[0][0]) > 2 * HELD:
-                    yield rows(GRAM, *parts[0])
-                    parts = []
+        dealt: dict[int, list[bytes]] = {GRAM: [], UNTRAINED: []}
+        for t, train in zip(texts(b), b.column("train").to_pylist(), strict=True):
+            t = t.encode("utf-8", "surrogatepass").lower()
+            dealt[GRAM if train else UNTRAINED].append(t)
+            if train:
+                seen.update(t.split())
+                seen[b""] += 1
+                if len(seen) > HELD:
+                    yield told()
+        for kind, got in dealt.items():
+            for part in grams(got, depth):
+                parts[kind].append(part)
+                if sum(len(k) for k, _ in parts[kind]) > 4 * HELD:
+                    parts[kind] = [summed(parts[kind])]
+                    if len(parts[kind][0][0]) > 2 * HELD:
+                        yield rows(kind, *parts[kind][0])
+                        parts[kind] = []
     if seen:
         yield told()
-    if parts:
-        yield rows(GRAM, *summed(parts))
+    for kind, left in parts.items():
+        if left:
+            yield rows(kind, *summed(left))
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _levels(counts: DataFrame, depth: int, crowd: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Kept contexts of each depth with their counts of bytes; counts: (key, n) of windows."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    levels = F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context")) for d in range(depth + 1)])
-    rows = counts.select(F.explode(levels).alias("x"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
-    rows = cut(rows.groupBy("x.d", "x.context", "byte").agg(F.sum("n").alias("n")))
-    kept = rows.groupBy("d", "context").agg(F.sum("n").alias("m")).filter((F.col("m") * crowd >= total) | (F.col("d") == 0))
-    got = rows.join(kept, ["d", "context"], "left_semi").toArrow()  # at most crowd * 256 rows a depth
-    d, context, byte, n = (got.column(c).to_numpy() for c in ("d", "context", "byte", "n"))
-    out = []
-    for k in range(depth + 1):
-        here = d == k
-        keys = np.unique(context[here].astype(np.uint64)) if k else np.zeros(1, np.uint64)
-        table = np.zeros((len(keys), 256))
-        table[np.searchsorted(keys, context[here].astype(np.uint64)), byte[here]] = n[here]
-        out.append((keys, table))
+def window_codes(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, m, code) of every window; counts: (key, n in training texts, m in all texts), materialised."""
+    sc = counts.sparkSession.sparkContext
+    low = min(SHARED, depth)
+    dealt = counts.withColumn("top", F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * low) - 1)).cast("int"))
+    dealt = dealt.repartition("top").sortWithinPartitions("top")
+    got = map_batches(dealt, lambda it: _tops(it, depth, low), "node long, zeros double, ones double, logs double").toArrow()  # at most 255 * 256 ** SHARED rows
+    nodes = got.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(nodes)
+    top = Level(nodes[order], *(got.column(c).to_numpy()[order] for c in ("zeros", "ones", "logs")))
+    shared = sc.broadcast((top.nodes, *above(top, low)))
+    out = cut(map_batches(dealt, lambda it: _codes(it, depth, low, shared), "key long, m long, code int"))
+    shared.unpersist()
     return out
 
 
+def common_windows(codes: DataFrame, crowd: int) -> pa.Table:
+    """(key, code) of the most common windows, whole classes of like counts, ``crowd`` at most."""
+    kind = F.floor(F.log2("m") * 4).cast("int")
+    least, held = None, 0
+    for r in codes.groupBy(kind.alias("kind")).count().orderBy(F.desc("kind")).collect():  # four rows for each doubling
+        held += r["count"]
+        if held > crowd:
+            break
+        least = r["kind"]
+    return codes.filter(kind >= least if least is not None else F.lit(False)).select("key", "code").toArrow()
+
+
+class Windows:
+    """Codes by window: a hash table with linear probing."""
+
+    def __init__(self, keys: np.ndarray, codes: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        k = np.arange(len(keys))
+        slot = np.maximum.accumulate(home[order] - k) + k
+        self.keys = np.full(max(1 << self.bits, int(slot[-1]) + 1 if len(slot) else 0) + 1, EMPTY)
+        self.codes = np.zeros(len(self.keys), dtype=np.int32)
+        self.keys[slot], self.codes[slot] = keys[order], codes[order]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the keys, 0 for those that are missing, and the places of the missing ones."""
+        at = self._home(keys)
+        met = self.keys[at]
+        live = np.flatnonzero((met != keys) & (met != EMPTY))
+        while len(live):
+            at[live] += 1
+            met = self.keys[at[live]]
+            live = live[(met != keys[live]) & (met != EMPTY)]
+        missing = np.flatnonzero(self.keys[at] != keys)
+        out = self.codes[at]
+        out[missing] = 0
+        return out, missing
+
+
 class Scorer:
-    """Scores texts: frequent words by their hash, contexts by the model."""
+    """Scores texts: frequent words by their hash, common windows by their codes."""
 
-    def __init__(self, model: Model, hashes: np.ndarray, counts: np.ndarray):
-        self.model, self.hashes, self.counts = model, hashes, counts
+    def __init__(self, depth: int, keys: np.ndarray, codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+        self.depth, self.table, self.hashes, self.counts = depth, Windows(keys, codes), hashes, counts
         self.logs = np.log10(counts + 0.1)
         self.known: dict[bytes, int] = {}
 
@@ -249,78 +415,80 @@ class Scorer:
         rare = Counter([found[k] for k in np.flatnonzero(at < 0)]) if len(common) < len(at) else {}
         return len(common), float(self.logs[common].sum()), rare
 
-    def codes(self, rows: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability."""
-        model = self.model
-        out = []
-        for part in chunked(rows, WINDOWS):
-            flat, starts = stream(part, model.depth)
-            if len(part) == 1 and len(part[0]) > 2 * WINDOWS:
-                ends = [*range(int(starts[0]), int(starts[0]) + len(part[0]) + 1, WINDOWS), int(starts[0]) + len(part[0]) + 1]
-                out.append(sum(int(self._units(flat, a, z).sum()) for a, z in zip(ends, ends[1:], strict=False)))
-                continue
-            units = np.concatenate([[0], np.cumsum(self._units(flat, model.depth, len(flat)))])
-            out += [int(units[s + len(r) + 1 - model.depth] - units[s - model.depth]) for s, r in zip(starts.tolist(), part, strict=True)]
-        return np.array(out, dtype=np.float64) / UNIT
-
-    def _units(self, flat: np.ndarray, a: int, z: int) -> np.ndarray:
-        row = np.zeros(z - a, dtype=np.int32)
-        child = self.model.child
-        live = np.arange(z - a)
-        for k in range(1, self.model.depth + 1):
-            new = child[row[live], flat[live + (a - k)]]
-            live, new = live[new >= 0], new[new >= 0]
-            row[live] = new
-        return self.model.code[row, flat[a:z]].astype(np.int64)
+    def codes(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units of each text's common windows, and (text, window, count) of the others, by text."""
+        units = np.zeros(len(rows), dtype=np.int64)
+        others = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for key, text in windows(rows, self.depth):
+            code, missing = self.table.find(key)
+            units += np.bincount(text, weights=code, minlength=len(rows)).astype(np.int64)
+            if len(missing):
+                key, text = key[missing], text[missing]
+                order = np.lexsort((key, text))
+                key, text = key[order], text[order]
+                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
+                others.append((text[first], key[first], np.diff(np.r_[first, len(key)])))
+        text, key, n = (np.concatenate(x) for x in zip(*others, strict=True))
+        return units, text, key, n
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(*shared.value)
     for b in batches:
         got = [t.encode("utf-8", "surrogatepass").lower() for t in texts(b)]
-        codes = scorer.codes(got)
+        units, text, key, n = scorer.codes(got)
+        ends = pa.array(np.searchsorted(text, np.arange(len(got) + 1)), pa.int32())
         words = [scorer.words(t) for t in got]
         hashes = [[np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64) for w in rare] for _, _, rare in words]
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("row"),
                 b.column("id"),
-                pa.array([n + sum(r.values()) + 1 for n, _, r in words], pa.int64()),
+                pa.array([c + sum(r.values()) + 1 for c, _, r in words], pa.int64()),
                 pa.array([len(t) for t in got], pa.int64()),
-                pa.array([n for n, _, _ in words], pa.int64()),
+                pa.array([c for c, _, _ in words], pa.int64()),
                 pa.array([s for _, s, _ in words], pa.float64()),
-                pa.array(codes, pa.float64()),
+                pa.array(units),
+                pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))),
+                pa.ListArray.from_arrays(ends, pa.array(n, pa.int64())),
                 pa.array(hashes, pa.list_(pa.int64())),
                 pa.array([list(r.values()) for _, _, r in words], pa.list_(pa.int64())),
             ],
-            names=["row", "id", "n_tokens", "n_bytes", "n_common", "common", "score", "rare", "times"],
+            names=["row", "id", "n_tokens", "n_bytes", "n_common", "common", "units", "windows", "often", "rare", "times"],
         )
 
 
-def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, crowd: int = 1 << 15, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, crowd: int = 1 << 21, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, n_bytes, train_tokens, base_score, score, bits_per_byte.
 
-    train: a boolean column over id; by default those not held out.
+    train: a boolean column over id; by default those not held out. crowd and frequent: windows and words sent to every task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     train = ~held_out(F.col("id")) if train is None else train
-    counted = map_batches(rows.filter(train).select("text"), lambda it: _count(it, depth), "kind int, key long, n long")
+    counted = map_batches(rows.select("text", F.coalesce(train, F.lit(False)).alias("train")), lambda it: _count(it, depth), "kind int, key long, n long")
     counts = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     told = counts.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("key") == END, F.col("n"))), F.lit(0)).alias("ends")).first()
     total, distinct, ends = told["n"], told["v"], told["ends"]
     often = counts.filter((F.col("kind") == WORD) & (F.col("n") * frequent >= total)).select("key", "n").toArrow()  # at most `frequent` rows
     hashes = often.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    model = weigh(depth, _levels(counts.filter(F.col("kind") == GRAM).select("key", "n"), depth, crowd))
-    shared = spark.sparkContext.broadcast((model, hashes[order], often.column("n").to_numpy()[order]))
-    schema = "row long, id long, n_tokens long, n_bytes long, n_common long, common double, score double, rare array<long>, times array<long>"
+    trained = F.sum(F.when(F.col("kind") == GRAM, F.col("n")).otherwise(0))
+    codes = window_codes(cut(counts.filter(F.col("kind") != WORD).groupBy("key").agg(trained.alias("n"), F.sum("n").alias("m"))), depth)
+    common = common_windows(codes, crowd)
+    shared = spark.sparkContext.broadcast((depth, common.column("key").to_numpy().view(np.uint64), common.column("code").to_numpy(), hashes[order], often.column("n").to_numpy()[order]))
+    lists = "windows array<long>, often array<long>, rare array<long>, times array<long>"
+    schema = f"row long, id long, n_tokens long, n_bytes long, n_common long, common double, units long, {lists}"
     scored = cut(map_batches(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text"), lambda it: _score(it, shared), schema))
+    shared.unpersist()
+    others = scored.filter(F.size("windows") > 0).select("row", F.explode(F.arrays_zip("windows", "often")).alias("x")).select("row", F.col("x.windows").alias("key"), F.col("x.often").alias("often"))
+    more = others.join(codes.select("key", "code"), "key").groupBy("row").agg(F.sum(F.col("often") * F.col("code")).alias("more"))
     rare = scored.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     met = rare.join(counts.filter(F.col("kind") == WORD).select("key", "n"), "key", "left")
     log = lambda c: F.log10(c + F.lit(0.1))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"), F.sum(F.col("times") * log(F.coalesce("n", F.lit(0)))).alias("logs"))
-    whole = scored.drop("rare", "times").join(sums, "row", "left")
+    whole = scored.drop("windows", "often", "rare", "times").join(sums, "row", "left").join(more, "row", "left")
+    score = (F.col("units") + F.coalesce("more", F.lit(0))) / F.lit(float(UNIT))
     base = F.col("common") + F.coalesce("logs", F.lit(0.0)) + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (distinct + 1)))
     return whole.select(
         "id",
@@ -329,8 +497,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, cr
         "n_bytes",
         F.lit(total).cast("long").alias("train_tokens"),
         F.round(base, 6).alias("base_score"),
-        "score",
-        (-F.col("score") * F.lit(math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score * F.lit(math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

@@ -553,6 +553,35 @@ def test_model_is_a_distribution_under_any_crowd():
         assert np.allclose((10.0 ** (model.code / ctw.UNIT)).sum(1), 1.0, atol=1e-5)
 
 
+@pytest.mark.parametrize("crowd", [{}, {"crowd": 64}, {"crowd": 0}])
+def test_no_context_is_left_out(spark, crowd):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdefgh \u00e9") for _ in range(rng.choice((0, 3000, 3000))))) for k in range(60)]
+    once = "qzxjqk vwyq"  # once in about 100,000 bytes
+    rows += [(60, once), (61, once), (62, "tail " + once)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t.encode() for k, t in rows if k < 50 or k == 60]
+    keys, n = ctw.summed([p for t in train for p in ctw.grams([t], 3)])
+    levels = []
+    for d in range(4):
+        contexts, where = np.unique((keys >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1), return_inverse=True)
+        levels.append((contexts, np.zeros((len(contexts), 256))))
+        np.add.at(levels[-1][1], (where, (keys & np.uint64(255)).astype(int)), n)
+    model = ctw.weigh(3, levels)  # dense, every context kept
+    got = ctw.score_texts(df, train=(F.col("id") < 50) | (F.col("id") == 60), depth=3, **crowd).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s, want = b"\0" * 3 + dict(rows)[r["id"]].encode() + b"\0", 0
+        for k in range(3, len(s)):
+            row = 0
+            for d in range(1, 4):
+                if model.child[row, s[k - d]] < 0:
+                    break
+                row = model.child[row, s[k - d]]
+            want += int(model.code[row, s[k]])
+        assert r["score"] == pytest.approx(want / ctw.UNIT, abs=1e-4)
+
+
 def test_lm_on_odd_rows(odd, none):
     rows = ctw.score_texts(odd, depth=3).collect()
     assert len(rows) == odd.count() and all(r["score"] < 0 and math.isfinite(r["base_score"]) for r in rows)
