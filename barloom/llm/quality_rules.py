@@ -7,8 +7,9 @@ documents that pass the base rules: the median, and a scale that is twice the di
 median to the upper quartile, since junk gathers below. A text is rejected outside a wide band of one
 measure, or low on both at once. The scale has a floor, so that a crowd of copies can't narrow a band.
 
-Bands need ``least`` documents; a class with fewer takes the class over all languages, then none, and
-without a band nothing is rejected but bytes. Bands take one point for equal measures, so copies count once.
+Bands need ``least`` documents; a class with fewer takes the class over all languages, then the band of
+all lengths of its language, then that of all documents, then a fixed one, so every text is judged.
+Bands of all lengths hold entropy less what is usual for the length (``USUAL``). Bands take one point for equal measures, so copies count once.
 
 Cases: a null text counts as empty and fails the base rules; a null language is a language of its own;
 a text without words has n_tokens 0 and no measures; repeated rows give repeated results.
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, map_batches, small, state, texts
@@ -33,11 +34,13 @@ BLANKS = " \t\n\v\f\r"
 REMEMBERED, LONGEST = 300_000, 64
 #: Texts of one batch whose words are cut together, in characters.
 TOGETHER = 1 << 22
+#: Median entropy by length class, the last for all longer ones (medians over sf0.1 documents from 2^6 tokens on).
+USUAL = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 5.8, 6.09, 6.36, 6.57, 6.72, 6.83, 6.9, 7.0)
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Widths in scales; floors of the scales."""
+    """Widths in scales; floors of the scales; middle and scale of characters per token where too few documents set a band."""
 
     cpt: float = 6.0
     entropy: float = 5.0
@@ -46,6 +49,7 @@ class Bands:
     entropy_floor: float = 0.15
     bytes_most: float = 0.2
     least: int = 40
+    cpt_fixed: tuple[float, float] = (2.2, 0.4)
 
 
 class Cutter:
@@ -144,25 +148,34 @@ def measures(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "
     return derived(map_batches(rows, lambda it: _measure(it, path), f"id long, lang string, {FIGURES}"))
 
 
-def learn_bands(measured: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """Bands by (group, length) and by length over all groups, as tables of a row for each class."""
-    points = cut(measured.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct())
-    quarters = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), 10000).alias(c[0]) for c in ("chars_per_token", "entropy")]
+def usual() -> Column:
+    """The usual entropy of a row's length class."""
+    return F.element_at(F.array(*map(F.lit, USUAL)), F.least(F.col("length"), F.lit(len(USUAL) - 1)) + 1)
 
-    def scaled(keys: list[str], tag: str) -> DataFrame:
+
+def learn_bands(measured: DataFrame, bands: Bands) -> tuple[DataFrame, ...]:
+    """Bands by (group, length), by length, by group and over all, as tables of a row for each class."""
+    points = measured.filter("not base_failed").select("group", "length", "chars_per_token", "entropy").distinct()
+    points = cut(points.withColumn("rest", F.col("entropy") - usual()).withColumn("any", F.lit(0)))
+
+    def scaled(keys: list[str], tag: str, entropy: str) -> DataFrame:
+        quarters = [F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), 10000).alias(name) for name, c in (("c", "chars_per_token"), ("e", entropy))]
         got = points.groupBy(*keys).agg(F.count("*").alias("n"), *quarters).filter(F.col("n") >= bands.least)
         mid, scale = (lambda c: F.col(c)[0].alias(f"{c}_mid{tag}")), (lambda c, floor: F.greatest(2 * (F.col(c)[1] - F.col(c)[0]), F.lit(floor)).alias(f"{c}_scale{tag}"))
         return cut(got.select(*keys, mid("c"), scale("c", bands.cpt_floor), mid("e"), scale("e", bands.entropy_floor)))
 
-    return scaled(["group", "length"], ""), scaled(["length"], "_all")
+    return scaled(["group", "length"], "", "entropy"), scaled(["length"], "_all", "entropy"), scaled(["group"], "_group", "rest"), scaled(["any"], "_any", "rest")
 
 
-def judge(measured: DataFrame, learned: tuple[DataFrame, DataFrame], bands: Bands) -> DataFrame:
+def judge(measured: DataFrame, learned: tuple[DataFrame, ...], bands: Bands) -> DataFrame:
     """Adds kept. Bands have a row a class: sent to every task, no text moves and no large class meets in one task."""
-    seen = measured.join(small(learned[0]), ["group", "length"], "left").join(small(learned[1]), "length", "left")
-    pick = lambda c: F.coalesce(F.col(c), F.col(f"{c}_all"))
-    c = (F.col("chars_per_token") - pick("c_mid")) / pick("c_scale")
-    e = (F.col("entropy") - pick("e_mid")) / pick("e_scale")
+    seen = measured.withColumn("any", F.lit(0))
+    for table, keys in zip(learned, (["group", "length"], ["length"], ["group"], ["any"]), strict=True):
+        seen = seen.join(small(table), keys, "left")
+    pick = lambda c, shift, fixed: F.coalesce(F.col(c), F.col(f"{c}_all"), F.col(f"{c}_group") + shift, F.col(f"{c}_any") + shift, F.lit(fixed) + shift)
+    none = F.lit(0.0)
+    c = (F.col("chars_per_token") - pick("c_mid", none, bands.cpt_fixed[0])) / pick("c_scale", none, bands.cpt_fixed[1])
+    e = (F.col("entropy") - pick("e_mid", usual(), 0.0)) / pick("e_scale", none, bands.entropy_floor)
     odd = (F.abs(c) > bands.cpt) | (e < -bands.entropy) | ((c < -bands.joint) & (e < -bands.joint))
     rejected = F.col("base_failed") | F.coalesce(odd, F.lit(False)) | F.coalesce(F.col("byte_share") > bands.bytes_most, F.lit(False))
     return seen.withColumn("kept", ~rejected).select(*measured.columns, "kept")

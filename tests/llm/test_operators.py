@@ -271,6 +271,25 @@ def test_rules_keep_good_documents(spark):
     assert sum(r["kept"] for r in poor) <= 0.2 * len(poor)
 
 
+def test_rules_judge_where_documents_are_few(spark):
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(24)]
+    junk = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    good = " ".join(r["text"] for r in docs.filter("doc_id < 3 and lang = 'en'").collect())
+    rows = [(-1, "en", junk(900)), (-2, "xx", junk(600)), (-3, "en", good)]
+    few = spark.createDataFrame(rows, docs.schema)
+    got = {r["id"]: r for r in quality_rules.rated(few).collect()}
+    assert not any(got[i]["base_failed"] for i in (-1, -2, -3))
+    assert [got[i]["kept"] for i in (-1, -2, -3)] == [False, False, True]
+    long = spark.createDataFrame([(-1, "en", "\n".join(junk(700) + f" {k}" for k in range(12)))], docs.schema)
+    measured = quality_rules.measures(docs.unionByName(long), quality_rules.default_path()).withColumn("base_failed", F.col("base_failed") & (F.col("id") >= 0))
+    learned = quality_rules.learn_bands(measured, quality_rules.Bands())
+    length = measured.filter("id = -1").first()["length"]
+    assert learned[1].filter(F.col("length") == length).isEmpty()
+    assert not quality_rules.judge(measured, learned, quality_rules.Bands()).filter("id = -1").first()["kept"]
+
+
 def test_rules_on_odd_rows(odd, none, docs):
     rows = {r["id"]: r for r in quality_rules.rated(odd).collect()}
     assert quality_rules.rated(odd).count() == odd.count() and rows[2]["n_tokens"] == 0 and not rows[3]["kept"]
