@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workers import reachable
+from ..workers import reachable, shared_folder
 
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/barloom-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -79,8 +79,7 @@ def beside(field: T.StructField, schema: str) -> T.StructType:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barloom-checkpoints"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,9 +6,13 @@ some ``blocks - radius`` blocks. Documents are first reduced to distinct fingerp
 of copies cost one row.
 
 A bucket of a mask holds distinct fingerprints; from each bucket come at most (size - 1) links, those
-of a forest over what lies within the radius, never all its pairs. A bucket above ``crowded`` is not
-scanned: its members are dealt again under finer masks, which fix 48 of 64 bits and so leave at most
-2^16 distinct fingerprints in a bucket. That is exact, since close pairs share a finer bucket too.
+of a forest over what lies within the radius, never all its pairs. One shuffle deals the buckets. One
+above ``crowded`` is not scanned but dealt again, by ``blocks`` blocks of the bits that its mask leaves free;
+close pairs share such a finer bucket too, so no link is lost. For radius 3 it fixes 52 bits or more
+of 64, so it holds 2^12 fingerprints at most.
+
+Links may be held to a second fingerprint: ``keep_one`` finds candidates by three-word shingles and
+keeps those whose five-word fingerprints agree on 0.8 of their bits or more.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; equal rows share a
 component; a null id is never a component's id unless all its ids are null.
@@ -17,15 +21,16 @@ component; a null id is never a component's id unless all its ids are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, map_batches, texts
+from .common import cut, map_batches, texts, whole_key
 
 CHUNK = 1 << 16
 
@@ -46,34 +51,56 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """One row (id, fp) per document; fp is the signed long of the fingerprint's bits."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, second: int | None = None) -> DataFrame:
+    """One row (id, hash, fp, near) per document: XXH64 of its text and the signed longs of its fingerprints; near is 0 without a second shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in texts(b, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], names=["id", "fp"])
+            got = texts(b, "text")
+            fp = np.array([fingerprint(t, shingle) for t in got], dtype=np.uint64).view(np.int64)
+            near = np.array([fingerprint(t, second) for t in got], dtype=np.uint64).view(np.int64) if second else np.zeros(len(got), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fp), pa.array(near)], names=["id", "hash", "fp", "near"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))
+    return map_batches(rows, run, "id long, hash long, fp long, near long")
+
+
+def masks(blocks: int, radius: int, free: int = (1 << 64) - 1) -> np.ndarray:
+    """Masks of every choice of blocks - radius blocks of the free bits of 64."""
+    bits = [b for b in range(64) if free >> b & 1]
+    edges = [round(len(bits) * k / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+    return np.array([sum(chosen) for chosen in combinations(parts, blocks - radius)], dtype=np.uint64)
+
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
+@dataclass(frozen=True)
+class Rule:
+    """Fingerprints link within radius bits; limit: and their second fingerprints within so many."""
 
+    radius: int = 3
+    blocks: int = 6
+    crowded: int = 1024
+    limit: int = 64
+    finer: int = 8
 
-def masks(blocks: int, radius: int) -> list[int]:
-    """Signed masks of every choice of blocks - radius blocks of 64 bits."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
-    return [int(np.uint64(sum(chosen)).astype(np.int64)) for chosen in combinations(parts, blocks - radius)]
+    def close(self, fp: np.ndarray, near: np.ndarray, to_fp: np.ndarray, to_near: np.ndarray) -> np.ndarray:
+        met = np.bitwise_count(fp ^ to_fp) <= self.radius
+        return met if self.limit >= 64 else met & (np.bitwise_count(near ^ to_near) <= self.limit)
 
 
-def forest(fps: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Groups of two and more of the distinct fingerprints that chains of steps within the radius join."""
-    left, out = fps, []
+def forest(fp: np.ndarray, near: np.ndarray, rule: Rule) -> list[np.ndarray]:
+    """Places of groups of two and more fingerprints that chains of links join."""
+    if len(fp) <= 256 and int(rule.close(fp[:, None], near[:, None], fp, near).sum()) == len(fp):
+        return []
+    left, out = np.arange(len(fp)), []
     while len(left):
         group, wave, left = [left[:1]], left[:1], left[1:]
         while len(wave) and len(left):
-            near = np.zeros(len(left), dtype=bool)
+            met = np.zeros(len(left), dtype=bool)
             for v in wave:
-                near |= np.bitwise_count(left ^ v) <= radius
-            wave, left = left[near], left[~near]
+                met |= rule.close(fp[left], near[left], fp[v], near[v])
+            wave, left = left[met], left[~met]
             group.append(wave)
         if sum(map(len, group)) > 1:
             out.append(np.concatenate(group))
@@ -86,60 +113,85 @@ def tree(members: np.ndarray, arity: int = 16) -> tuple[np.ndarray, np.ndarray]:
     return members[(k - 1) // arity], members[k]
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (mask, key): links of each run of equal (mask, key)."""
-    key, held = None, []
+LINKS = "fp long, near long, to_fp long, to_near long, mask int"
 
-    def close(held: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(held) == 1 and len(held[0]) < 2:
-            return []
-        return [tree(g) for g in forest(np.unique(np.concatenate(held)), radius)]
+
+def _links(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (mask, key): links of each run of equal (mask, key), or the members of a crowded one, mask set."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    key: tuple[int, int] | None = None
+    none = np.zeros(0, np.uint64)
+
+    def close() -> tuple[list, int]:
+        fp, near = held[0] if len(held) == 1 else tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        if len(fp) < 2:
+            return [none] * 4, -1
+        if rule.crowded and len(fp) > rule.crowded:
+            return [fp, near, fp, near], key[0]
+        a, z = (np.concatenate(x) for x in zip((none.astype(int),) * 2, *map(tree, forest(fp, near, rule)), strict=True))
+        return [fp[a], near[a], fp[z], near[z]], -1
+
+    def rows(found: list[tuple[list, int]]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*(c for c, _ in found), strict=True)]
+        of = np.concatenate([np.full(len(c[0]), m, np.int32) for c, m in found])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(of)], names=["fp", "near", "to_fp", "to_near", "mask"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        m, k, f = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key", "fp"))
-        f = f.view(np.uint64)
+        m, k, fp, near = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key", "fp", "near"))
+        fp, near = fp.view(np.uint64), near.view(np.uint64)
         starts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (k[1:] != k[:-1])])
-        ends = np.r_[starts[1:], len(f)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if s == 0 and key == (m[0], k[0]):
-                held.append(f[s:e])
-                continue
-            if held:
-                out += close(held)
-            key, held = (m[s], k[s]), [f[s:e]]
+        ends = np.r_[starts[1:], len(fp)]
+        lone = np.r_[ends - starts == 1]
+        lone[[0, -1]] = False  # runs at a batch's ends may go on
+        out: list[tuple[list, int]] = []
+        for s, e in zip(starts[~lone].tolist(), ends[~lone].tolist(), strict=True):
+            if s or key != (m[0], k[0]):
+                if held:
+                    out.append(close())
+                key, held = (m[s], k[s]), []
+            held.append((fp[s:e], near[s:e]))
         if out:
-            a, z = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
-    if held and (out := close(held)):
-        a, z = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+            yield rows(out)
+    if held:
+        yield rows([close()])
 
 
-def _buckets(fps: DataFrame, chosen: list[int]) -> DataFrame:
-    """(mask, key, fp): each fingerprint under every mask."""
-    return fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("mask", "key")).select("mask", "key", "fp")
+def _redealt(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Members of crowded buckets under every finer mask; the key holds the bits of both masks."""
+    coarse = masks(rule.blocks, rule.radius)
+    finer = max(rule.finer, rule.radius + 3)
+    inner = [masks(finer, rule.radius, ~int(c) & ((1 << 64) - 1)) for c in coarse]
+    for b in batches:
+        mask, fp, near = (b.column(c).to_numpy() for c in ("mask", "fp", "near"))
+        for m in np.unique(mask).tolist():
+            mine = mask == m
+            for part in np.array_split(np.flatnonzero(mine), max(1, int(mine.sum()) >> 10)):
+                keys = fp[part].view(np.uint64)[:, None] & (inner[m] | coarse[m])
+                n = len(inner[m])
+                of = np.tile(m * n + np.arange(n, dtype=np.int32), len(part)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp[part], n)), pa.array(np.repeat(near[part], n))], names=["mask", "key", "fp", "near"])
 
 
-def _scan(rows: DataFrame, radius: int) -> DataFrame:
+def _scan(rows: DataFrame, rule: Rule) -> DataFrame:
     dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return map_batches(dealt, lambda it: _links(it, radius), "a long, b long")
+    return map_batches(dealt, lambda it: _links(it, rule), LINKS)
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
-    """Links (a, b) over distinct fingerprints whose components are those of "differs in <= radius bits".
+def links(marks: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Links (fp, near, to_fp, to_near) whose components are those of the rule.
 
-    fps: one row per distinct fp, materialised.
+    marks: (fp, near), distinct and materialised.
     """
-    coarse = _buckets(fps, masks(blocks, radius))
-    sizes = cut(coarse.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = cut(coarse.join(sizes, ["mask", "key"]))
-    calm = _scan(met.filter(F.col("n") <= crowded), radius)
-    crowd = met.filter(F.col("n") > crowded).select("fp").distinct()
-    fine = _buckets(crowd, masks(12, radius)) if radius == 3 else met.filter(F.col("n") > crowded).select("mask", "key", "fp")
-    return cut(calm.unionByName(_scan(fine, radius)).dropDuplicates())
+    under = F.array(*[F.col("fp").bitwiseAND(F.lit(int(m))) for m in masks(rule.blocks, rule.radius).view(np.int64)])
+    buckets = marks.select("fp", "near", F.posexplode(under).alias("mask", "key"))
+    found = cut(_scan(buckets, rule))
+    out, crowd = found.filter("mask < 0"), found.filter("mask >= 0").select("mask", "fp", "near")
+    if not crowd.isEmpty():
+        fine = map_batches(crowd, lambda it: _redealt(it, rule), "mask int, key long, fp long, near long")
+        out = out.unionByName(_scan(fine, replace(rule, crowded=0)))
+    return cut(out.drop("mask").dropDuplicates())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,40 +214,52 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def classes(marked: DataFrame, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
-    """(fp, rep, label, component) for each distinct fingerprint; marked: (id, fp), materialised.
+def node(rule: Rule, fp: str = "fp", near: str = "near") -> Column:
+    """A long for each mark: the fingerprint, or where a second one counts the XXH64 of both."""
+    return F.col(fp) if rule.limit >= 64 else F.xxhash64(fp, near)
 
-    rep is the least id with the fingerprint, component the least of its class, label the class's least fp.
-    """
-    reps = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    labels = components(links(reps.select("fp"), radius, blocks, crowded)).withColumnRenamed("node", "fp")
-    grouped = cut(reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    least = cut(grouped.groupBy("label").agg(F.min("rep").alias("component")))
-    return cut(grouped.join(least, "label").select("fp", "rep", "label", "component"))
 
+def classes(marked: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(node, n, label, first) for each distinct mark; marked: (id, hash, fp, near), materialised.
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
-    """One row per document: id, fp (signed long), label and component (least id of those reachable)."""
-    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
-    return marked.join(classes(marked, radius, blocks, crowded).drop("rep"), "fp").select("id", "fp", "label", "component")
+    n counts its rows; first (no_id, id, hash) is the least row of its class, null ids last; label is the class's least node.
+    """
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("first")
+    reps = cut(marked.groupBy("fp", "near").agg(F.count("*").alias("n"), least))
+    edges = links(reps.select("fp", "near"), rule).select(node(rule).alias("a"), node(rule, "to_fp", "to_near").alias("b"))
+    labels = components(cut(edges))
+    grouped = cut(reps.select(node(rule).alias("node"), "n", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    firsts = cut(grouped.groupBy("label").agg(F.min("first").alias("first")))
+    return cut(grouped.drop("first").join(firsts, "label").select("node", "n", "label", "first"))
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, radius: int = 3, blocks: int = 6, crowded: int = 1024) -> DataFrame:
-    """The document with the least id of each class, with its columns; one of several rows that share that id and fingerprint."""
-    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
-    found = classes(marked, radius, blocks, crowded)
-    first = found.filter(F.col("rep").eqNullSafe(F.col("component"))).groupBy("label").agg(F.min("fp").alias("fp"), F.first("component").alias("id"))
-    keys = [F.coalesce("id", F.lit(0)).alias("key_id"), F.col("id").isNull().alias("key_null"), F.col("fp").alias("key_fp")]
-    names = ["key_id", "key_null", "key_fp"]
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, rule: Rule = Rule(), hot: int = 1000) -> DataFrame:
+    """One row per document: id, fp (signed long), label and component (least id of those reachable).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in texts(b, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(fp)], names=["doc", "id", "fp"])
-
-    columns = {"id": (id_col, pa.int64()), "text": (text_col, pa.string())}
-    rows = attach(docs, columns, run, "id long, fp long").select("doc", *keys)
-    return rows.join(first.select(*keys), names, "left_semi").dropDuplicates(names).select("doc.*")
+    Fingerprints of more than 1 in ``hot`` documents, so fewer than ``hot``, are sent to every task: their rows don't move.
+    """
+    marked = cut(with_fingerprint(docs, text_col, id_col, shingle))
+    found = classes(marked, rule).select(F.col("node").alias("fp"), "n", "label", F.col("first.id").alias("component"))
+    many = F.col("n") * hot > marked.count()
+    crowd, rest = found.filter(many).drop("n"), found.filter(~many).drop("n")
+    rows = marked.select("id", "fp")
+    common = rows.join(F.broadcast(crowd), "fp")
+    others = rows.join(F.broadcast(crowd.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return common.unionByName(others).select("id", "fp", "label", "component")
+
+
+#: Candidates within 9 bits of three-word fingerprints, five-word ones alike on 0.8 of 64 bits or more.
+ALIKE = Rule(radius=9, blocks=11, crowded=1 << 15, limit=12)
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, second: int = 5, rule: Rule = ALIKE) -> DataFrame:
+    """The document with the least id of each class, with its columns; one of several rows that share that id and text."""
+    marked = cut(with_fingerprint(docs, text_col, id_col, shingle, second))
+    first = classes(marked, rule).select("label", "first").distinct().select("first.*")
+    names = ["key_id", "key_null", "key_text"]
+    chosen = first.select(F.coalesce("id", F.lit(0)).alias("key_id"), F.col("no_id").alias("key_null"), F.col("hash").alias("key_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *whole_key(id_col, text_col))
+    return rows.join(chosen, names, "left_semi").dropDuplicates(names).select("doc.*")
 
 
 def hexed(fp):

@@ -165,8 +165,8 @@ def test_links_hold_exactly_the_classes(spark, crowded):
         for _ in range(25):
             f ^= sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5)))
             fps.add(f)
-    rows = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    links = simhash_dedup.links(rows, crowded=crowded)
+    rows = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), 0) for f in fps], "fp long, near long")
+    links = simhash_dedup.links(rows, simhash_dedup.Rule(crowded=crowded)).select(F.col("fp").alias("a"), F.col("to_fp").alias("b"))
     found = {r["node"]: r["label"] for r in simhash_dedup.components(links).collect()}
     want = classes(fps)
     mine = {}
@@ -181,22 +181,86 @@ def test_links_hold_exactly_the_classes(spark, crowded):
     assert max(degree.values()) <= 17 * 20
 
 
+@pytest.mark.parametrize("crowded", [1 << 15, 3])
+def test_second_fingerprints_hold_links_back(spark, crowded):
+    rng = random.Random(11)
+    flip = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(64), n))
+    marks = set()
+    for _ in range(40):
+        f, g = rng.getrandbits(64), rng.getrandbits(64)
+        marks |= {(flip(f, rng.randrange(0, 8)), flip(g, rng.randrange(0, 10))) for _ in range(6)}
+    rule = simhash_dedup.Rule(radius=9, blocks=11, crowded=crowded, limit=12)
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    rows = spark.createDataFrame([(signed(f), signed(g)) for f, g in marks], "fp long, near long")
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 9 and (x[1] ^ y[1]).bit_count() <= 12
+    got = [((r["fp"], r["near"]), (r["to_fp"], r["to_near"])) for r in simhash_dedup.links(rows, rule).collect()]
+    some = sorted(marks)
+
+    def groups(pairs):
+        parent = {(signed(f), signed(g)): (signed(f), signed(g)) for f, g in some}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            parent[find(x)] = find(y)
+        out = {}
+        for x in parent:
+            out.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    exact = [((signed(x[0]), signed(x[1])), (signed(y[0]), signed(y[1]))) for k, x in enumerate(some) for y in some[:k] if close(x, y)]
+    assert groups(got) == groups(exact)
+
+
+def test_near_copies_leave_one(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    rows, of = [], {}
+    for k in range(40):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(200, 900))]
+        for c in range(4):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), len(copy) // 90 if c else 0):
+                copy[at] = rng.choice(vocabulary)
+            of[len(rows)] = k
+            rows.append((len(rows), " ".join(copy), "en", "a", 0))
+    kept = [r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert {of[i] for i in kept} == set(range(40)) and len(kept) <= 46  # 114 of 120 near copies or more go
+
+
 def test_masks_cover_every_near_pair():
     rng = random.Random(1)
     for blocks in (6, 12):
-        masks = simhash_dedup.masks(blocks, 3)
+        masks = simhash_dedup.masks(blocks, 3).tolist()
         for _ in range(50):
             d = sum(1 << b for b in rng.sample(range(64), 3))
-            d = int(np.uint64(d).astype(np.int64))
             assert any(d & m == 0 for m in masks)
 
 
-def test_one_of_each_stays(spark, docs, odd, none):
-    for df in (docs, odd):
-        kept = simhash_dedup.keep_one(df)
-        assert kept.columns == df.columns
-        rows = simhash_dedup.near_duplicates(df).collect()
-        assert kept.count() == len({r["label"] for r in rows})
+def test_one_of_each_stays(spark, docs, odd, none, raw):
+    kept = simhash_dedup.keep_one(docs)
+    marks = {i: tuple(simhash_dedup.fingerprint(t or "", n) for n in (3, 5)) for i, t, _, _ in raw}
+    parent = {m: m for m in marks.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    some = sorted(parent)
+    for k, x in enumerate(some):
+        for y in some[:k]:
+            if (x[0] ^ y[0]).bit_count() <= 9 and (x[1] ^ y[1]).bit_count() <= 12:
+                parent[find(x)] = find(y)
+    least = {}
+    for i in sorted(marks):
+        least.setdefault(find(marks[i]), i)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(least.values())
+    some = simhash_dedup.keep_one(odd)
+    assert some.columns == odd.columns and sorted(r["doc_id"] for r in some.collect()) == [-9, 1, 2, 4, 5]
     assert simhash_dedup.keep_one(none).count() == 0 and simhash_dedup.near_duplicates(none).count() == 0
     by = {(r["id"], r["component"]) for r in simhash_dedup.near_duplicates(odd).collect()}
     assert (7, 1) in by and (None, 1) in by and (3, 2) in by and (6, 2) in by
