@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..workers import shared_folder
 from ..sources import files, messages
 from ..sources.tables import table
 from .shared import DAILY, daily, rounded, rsql
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
 @query(f"WITH {DAILY} SELECT stream, bar, {rsql('close', 'buy_qty')}, CAST(samples AS DOUBLE) AS samples FROM daily")
 def source_bar_files(spark, sf_dir):
     """Bars written as rolled, gzipped text by stream, then found and read by groups of equal header."""
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/barloom-checkpoints').rstrip('/')}/bars-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
     bars = daily(spark, sf_dir).withColumn("spot_datetime", F.date_format(F.timestamp_seconds(F.col("bar") + F.ascii("stream")), "yyyy-MM-dd HH:mm:ss"))
     files.write_bars(bars.select("spot_datetime", "stream", "bar", "close", "buy_qty", "samples").withColumn("code", F.ascii("stream").cast("double")).drop("stream"), top, lines=2000, gzip=True)
     got = files.typed(files.read_bars(spark, files.find_files(spark, top, recursive=True)))

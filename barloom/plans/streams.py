@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..workers import shared_folder
 from ..streaming.bars import run_now, stream_bars
 from ..streaming.book import live_book
 from .book import BEST
@@ -25,8 +26,7 @@ def query(sql: str | None = None):
 
 
 def folder(spark, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barloom-checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def replay(spark, sf_dir: str):
