@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -487,39 +488,84 @@ def test_forced_cuts_never_change_the_merges():
 # HTML
 
 
+def page_text(html, weights=None):
+    weights = weights or html_extract.unlearned()
+    return html_extract.Page(html, weights.lists).text(weights)
+
+
 def test_html_cases():
-    text = lambda h: html_extract.Page(h).text(html_extract.START | {"word": 8.0})
+    text = page_text
     assert text("<nav><a href=x>a b</a></nav><article><h1>T &amp; U</h1><p>one <b>two</b>\n three<br>four<p>five six</article><footer>f g</footer>") == "T & U\none two three four\nfive six"
-    assert text("<p>keep this one<div class='ad'>buy now</div><p>and this<form>name <input></form><aside>more</aside><p>last") == "keep this one\nand this\nlast"
+    assert text("<p>keep this one<div class='ad'>buy now</div><p>and this one as well<form>name <input></form><aside>more</aside><p>last words of the text") == "keep this one\nand this one as well\nlast words of the text"
     assert text("<article><p>a b<script>if (a < b) { x('</p>') }</script> c<style>p{}</style></p><div id=comments><p>nice post</p></div></article>") == "a b c"
-    assert text("<header><h1>Site name here</h1></header><main><header class=entry-header><h1>Title of it</h1></header><p title='hidden gems'>body text<p hidden>secret</main>") == "Title of it\nbody text"
+    assert text("<header><h1>Site name here</h1></header><main><header class=entry-header><h1>Title of it</h1></header><p title='hidden gems'>body text of it<p hidden>secret</main>") == "Title of it\nbody text of it"
     assert text("<div id='siteNav'>a b c</div><p>one two three</p><div class='cookieNotice'>we use</div>") == "one two three"
     assert text("") == "" and text("<html><body></body></html>") == "" and text("no tags at all") == "no tags at all"
     assert text("<p>cut off &amp &lt;b&gt; <b") == "cut off & <b>"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="content-sidebar-wrap"><main><p>one two three four</main><div class="sidebar">x y</div></div>', "one two three four"),
+        ('<body class="site has-sidebar"><article><p>one two three four</article></body>', "one two three four"),
+        ('<div id="search-results-article"><article><p>one two three four</article></div>', "one two three four"),
+        ('<section class="newsletter"><article><p>one two three four</article></section>', "one two three four"),
+        ('<article><p>one two three</p><p class="banner">four five</p></article>', "one two three\nfour five"),
+        ("<div>some words before it all</div><article><p>one two three four</article><div>some words after it all</div>", "one two three four"),
+        ("<main><p>one two three four</p><div class=comments><article class=comment><p>well said</article></div></main>", "one two three four"),
+        ("<article><ul><li>one two<li>three <a href=x>four</a></ul><table><tr><td>a<td>b</table><aside>" + "ad " * 500 + "</aside><p>last line</article>", "one two\nthree four\na b\nlast line"),
+        ('<div class="content"><p>one two three four five<div class="related"><article><a>card one</a></article></div></div>', "one two three four five"),
+        ("<article></article><p>one two three four", "one two three four"),
+    ],
+)
+def test_wrappers_and_what_is_inside(page, want):
+    assert page_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "</b>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><b>" * 50_000 + "x", "<div class=a>" * 100_000, "".join(f"<div class=c{k}>" for k in range(50_000)) + "x"])
+def test_hostile_nesting_is_linear(page):
+    start = time.perf_counter()
+    page_text(page)
+    assert time.perf_counter() - start < 3
+
+
 def test_best_run_against_brute_force():
     rng = random.Random(6)
+    page = html_extract.Page("")
     for _ in range(200):
-        page = html_extract.Page("")
-        page.items = [(rng.choice(["word", "p", "li", "boiler"]), 0, -1) for _ in range(rng.randrange(0, 12))]
-        page.items = [(k, rng.randrange(1, 4) if k in ("word", "boiler") else 0, -1) for k, _, _ in page.items]
-        w = {"word": 1.5, "boiler": -2.0, "tag": -1.0, "p": -0.5}
-        value = lambda x: w[x[0]] * x[1] if x[1] else w.get(x[0], w["tag"])  # noqa: E731, B023
-        sums = [sum(map(value, page.items[a:z])) for a in range(len(page.items) + 1) for z in range(a, len(page.items) + 1)]
-        a, z = page.best(w)
-        assert sum(map(value, page.items[a:z])) == pytest.approx(max([0.0, *sums]))
+        values = [rng.choice((-2.0, -1.0, -0.5, 1.5, 3.0)) for _ in range(rng.randrange(0, 12))]
+        sums = [sum(values[a:z]) for a in range(len(values) + 1) for z in range(a, len(values) + 1)]
+        a, z = page.best(values)
+        assert sum(values[a:z]) == pytest.approx(max([0.0, *sums]))
 
 
-def test_pages_give_their_articles(spark, sf):
+def test_weights_without_any_list(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.fit(pages.filter("page_id % 2 = 0"), most=100, prior=html_extract.NOTHING)
+    right = [page_text(r["html"], weights) == article(r["html"]) for r in pages.filter("page_id % 2 = 1").collect()]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_the_run_decides():
+    """Text that no weight speaks against is left out for what lies between it and the run."""
+    between = "<ul>" + "<li><a href=x>go</a></li>" * 30 + "</ul>"
+    assert page_text(f"<div>a few words here</div>{between}<div><p>{'word ' * 60}</p></div>{between}<div>more words there</div>") == ("word " * 60).strip()
+
+
+def article(html):
     import html as H
     import re
 
+    inner = re.search(r"<article>(.*?)(?:</article>|$)", html, re.S)[1]
+    blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
+    return "\n".join(x for x in blocks if x)
+
+
+def test_pages_give_their_articles(spark, sf):
     got = {r["page_id"]: r for r in QUERIES["op8_html_extraction"](spark, sf).collect()}
     for i, h in duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall():
-        inner = re.search(r"<article>(.*?)(?:</article>|$)", h, re.S)[1]
-        blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
-        assert got[i]["text"] == "\n".join(x for x in blocks if x) and got[i]["n_chars"] == len(got[i]["text"])
+        assert got[i]["text"] == article(h) and got[i]["n_chars"] == len(got[i]["text"])
 
 
 def test_odd_pages(spark):
