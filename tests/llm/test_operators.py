@@ -367,13 +367,94 @@ def test_rules_on_odd_rows(odd, none, docs):
 # licenses
 
 
+SCANNER = license_scan.Scanner(license_scan.TEMPLATES, 0.8, 1.5)
+
+
 def test_license_cases():
-    s = license_scan.Scanner(license_scan.TEMPLATES, 0.8, 1.5)
+    s = SCANNER
     assert s.scan("xx the released under the MIT license a")[0] == ("MIT", 1.0, 5, 2, 6)
     assert s.scan("Released under the MIT License.\nReleased under the MIT License.")[0][:3] == ("MIT", 1.0, 5)
     assert s.scan("") == [] and s.scan("a license of sorts, released last year under rules") == []
-    notice = license_scan.TEMPLATES["MIT-notice"].replace("without limitation ", "")
-    assert s.scan("foo " * 500 + notice + " bar" * 500)[0][0] == "MIT-notice"
+    notice = license_scan.TEMPLATES["MIT/text"].replace("without limitation ", "")
+    assert s.scan("foo " * 500 + notice + " bar" * 500)[0][0] == "MIT"
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("Released under the BSD License.", ["BSD"]),
+        ("Released under the GPL License.", []),
+        ("Released under the MIT-0 License.", []),
+        ("Licensed under the MIT License.", ["MIT"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+        ("Licensed under CC BY-ND 4.0. Licensed under CC BY 4.0.", ["CC-BY-4.0", "CC-BY-ND-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("// SPDX-License-Identifier: LGPL-2.1", ["LGPL-2.1"]),
+        (license_scan.TEMPLATES["BSD-3-Clause/text"], ["BSD-3-Clause"]),
+        (license_scan.TEMPLATES["BSD-2-Clause/text"], ["BSD-2-Clause"]),
+        (license_scan.TEMPLATES["GPL-2.0/notice"], ["GPL-2.0"]),
+        (license_scan.TEMPLATES["ISC/text"], ["ISC"]),
+    ],
+)
+def test_names_and_versions_decide(line, want):
+    for text in (line, "some words before it " + line + " and some after"):
+        assert sorted(x[0] for x in SCANNER.scan(text)) == sorted(want)
+
+
+def brute_licenses(text):
+    """License ids of short templates by the longest common subsequence over every window."""
+    words, out = license_scan.tokens(text), set()
+    for name, line in license_scan.TEMPLATES.items():
+        t = license_scan.Template.of(name, line)
+        n = len(t.words)
+        if n > 16 or not t.must <= set(words):
+            continue
+        told = [w for w, x in zip(t.words, t.told, strict=True) if x]
+        for s in range(len(words)):
+            for e in range(s + 1, min(len(words), s + max(n + 2, math.ceil(1.5 * n))) + 1):
+                window = words[s:e]
+                core = [s + k for k, x in enumerate(license_scan.telling(window, t.codes)) if x]
+                if core and t.beside(words, core[0], core[-1]):
+                    continue
+                if window[0] in t.vocabulary and window[-1] in t.vocabulary and [w for w, x in zip(window, license_scan.telling(window, t.codes), strict=True) if x] == told:
+                    row = [0] * (n + 1)
+                    for w in window:
+                        last = 0
+                        for k, x in enumerate(t.words, 1):
+                            last, row[k] = row[k], last + 1 if x == w else max(row[k], row[k - 1])
+                    if row[-1] >= math.ceil(0.8 * n - 1e-9):
+                        out.add(t.license)
+    return out
+
+
+def test_query_finds_what_brute_force_finds(spark, tmp_path):
+    rng = random.Random(13)
+    lines = [x for x in license_scan.TEMPLATES.values() if len(license_scan.tokens(x)) <= 16]
+    rows = []
+    for k in range(400):
+        words = []
+        for _ in range(rng.randrange(0, 3)):
+            part = rng.choice(lines).split()
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(part))
+                part[at : at + rng.randrange(0, 2)] = rng.choice([["word"], [], ["the"], ["4.0"], ["Lesser"], ["ND"]])
+            words += [*(rng.choice("alpha beta under the licensed version 2".split()) for _ in range(rng.randrange(0, 9))), *part, "and", "so", "on", "it", "went", "far", "away"]
+        rows.append((k, " ".join(words), "en", "a", 0))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    for k, text, *_ in rows:
+        want = brute_licenses(text)
+        assert got[k]["n_found"] == len(want), text
+        assert (got[k]["license"] in want) if want else got[k]["license"] is None
 
 
 @pytest.mark.parametrize("seed", range(40))
