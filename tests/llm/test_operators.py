@@ -64,54 +64,126 @@ def highest_quotients(votes, seats, most):
     return out
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_apportionment_is_by_highest_quotients(seed):
-    rng = random.Random(seed)
-    votes = [float(rng.randrange(0, 200)) for _ in range(rng.randrange(1, 9))]
-    most = [rng.randrange(0, 40) for _ in votes]
-    seats = rng.randrange(0, 90)
-    got = mixing.sainte_lague(votes, seats, most)
-    assert got == highest_quotients(votes, seats, most)
+def test_apportionment_is_by_highest_quotients(spark):
+    rng = random.Random(0)
+    groups, rows, want = [], [], {}
+    for g in range(40):
+        votes = [float(rng.choice((0, 1, 5, 50, rng.randrange(0, 200)))) for _ in range(rng.randrange(1, 9))]
+        most = [rng.randrange(0, 40) for _ in votes]
+        seats = rng.randrange(0, 90)
+        groups.append((g, seats))
+        rows += [(g, k, v, m) for k, (v, m) in enumerate(zip(votes, most, strict=True))]
+        want |= {(g, k): n for k, n in enumerate(highest_quotients(votes, seats, most))}
+    got = mixing.apportioned(spark.createDataFrame(rows, "g int, place int, votes double, most long"), spark.createDataFrame(groups, "g int, quota long"), ["g"]).collect()
+    assert {(r["g"], r["place"]): r["seats"] for r in got} == want
+
+
+def capped(sizes, weights, total, most):
+    """Targets by filling sources one after the other."""
+    targets, left, live = [0.0] * len(sizes), min(total, most * sum(sizes)), [k for k, s in enumerate(sizes) if s]
+    while live:
+        level = left / sum(weights[k] for k in live)
+        k = min(live, key=lambda k: sizes[k] / weights[k])
+        if most * sizes[k] > level * weights[k]:
+            for k in live:
+                targets[k] = level * weights[k]
+            break
+        targets[k] = float(most * sizes[k])
+        left -= targets[k]
+        live.remove(k)
+    return targets
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rng = random.Random(1)
+    for sizes, weights, total in [([10, 100, 0], [3.0, 1.0, 2.0], 60.0), ([5, 5], [1.0, 1.0], 100.0)] + [([rng.randrange(0, 50) for _ in range(n)], [float(rng.choice((3, 1, 2))) for _ in range(n)], float(rng.randrange(1, 900))) for n in (3, 7, 20)]:
+        df = spark.createDataFrame([(k, s, w) for k, (s, w) in enumerate(zip(sizes, weights, strict=True))], "k int, size long, weight double")
+        got = [r["target"] for r in mixing.capped_targets(df, total, 2).orderBy("k").collect()]
+        assert got == pytest.approx(capped(sizes, weights, total, 2))
 
 
-def test_targets_are_capped_and_reshared():
-    assert mixing.capped_targets([10, 100, 0], [3, 1, 2], 60, 2) == [20.0, 40.0, 0.0]
-    assert mixing.capped_targets([5, 5], [1, 1], 100, 2) == [10.0, 10.0]
+def brute_mix(rows, block=16, shard_words=1 << 20, seed=11):
+    """Words taken of each row (id, text, source), sorted within equal rows, by plain loops."""
+    size = [len(words(t)) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names]
+    targets = capped(sizes, [float((3, 1, 2)[k % 3]) for k in range(len(names))], 1.5 * sum(sizes), 2)
+    blocks = highest_quotients(targets, math.floor(sum(targets) / block + 0.5), [2 * -(-s // block) for s in sizes])
+    return dict(zip(names, blocks, strict=True)), dict(zip(names, targets, strict=True)), size
 
 
 def test_mix_takes_near_its_targets(spark, docs, raw):
     got = QUERIES["op1_mix_sources"](spark, "/root/testdata/sf0.001").collect()
-    size = {i: len(words(t)) for i, t, _, _ in raw}
+    blocks, targets, sizes = brute_mix([(i, t, s) for i, t, _, s in raw])
+    size = {i: n for (i, *_), n in zip(raw, sizes, strict=True)}
     assert {r["doc_id"]: r["size"] for r in got} == size and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     source = {i: s for i, _, _, s in raw}
-    names = sorted(set(source.values()))
-    sizes = [sum(n for i, n in size.items() if source[i] == s) for s in names]
-    targets = mixing.capped_targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(sizes), 2)
-    assert sum(targets) == pytest.approx(1.5 * sum(sizes))
-    for name, n, target in zip(names, sizes, targets, strict=True):
+    for name, target in targets.items():
         mine = [r for r in got if source[r["doc_id"]] == name]
-        assert {(r["source_size"], round(r["target"], 6)) for r in mine} == {(n, round(target, 6))}
+        assert {(r["source_size"], round(r["target"], 6)) for r in mine} == {(sum(size[r["doc_id"]] for r in mine), round(target, 6))}
         assert abs(sum(r["taken"] for r in mine) - target) <= 48
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes))
     assert {tuple(r) for r in got} == {tuple(r) for r in QUERIES["op1_mix_sources"](spark, "/root/testdata/sf0.001").collect()}
 
 
-def test_mixed_rows_hold_the_words_taken(docs, odd, none):
-    for df in (docs, odd):
-        plan = mixing.mix(df).collect()
+@pytest.mark.parametrize("shard_words", [1 << 20, 700])
+def test_taken_against_plain_loops(spark, docs, raw, shard_words):
+    """Shards and orders as the operator hashes them; quotas, streams and words taken by plain loops."""
+    plan = mixing.mix(docs, shard_words=shard_words)
+    got = {r["id"]: r["taken"] for r in mixing.taken(plan).collect()}
+    blocks, _, sizes = brute_mix([(i, t, s) for i, t, _, s in raw])
+    spark_hash = lambda *xs: int(np.uint64(_fold(xs)).astype(np.int64))
+    streams = {}
+    for (i, _, _, s), n in zip(raw, sizes, strict=True):
+        total = sum(m for (_, _, _, z), m in zip(raw, sizes, strict=True) if z == s)
+        at = spark_hash((11).to_bytes(4, "little", signed=True), i.to_bytes(8, "little", signed=True))
+        shard = spark_hash(at.to_bytes(8, "little", signed=True), (11).to_bytes(4, "little", signed=True)) % max(1, -(-total // shard_words))
+        streams.setdefault((s, shard), []).append((at, i, n))
+    want = {}
+    for s in blocks:
+        mine = sorted(k for k in streams if k[0] == s)
+        words_ = [sum(n for *_, n in streams[k]) for k in mine]
+        for k, w, q in zip(mine, words_, highest_quotients([float(w) for w in words_], blocks[s], [2 * -(-w // 16) for w in words_]), strict=True):
+            n_blocks = -(-w // 16)
+            passes = min(2, q // max(1, n_blocks))
+            reach, start = min(w, (q - passes * n_blocks) * 16), 0
+            for _, i, n in sorted(streams[k]):
+                want[i] = passes * n + max(0, min(n, reach - start))
+                start += n
+    assert got == want
+
+
+def _fold(xs):
+    seed = 42
+    for x in xs:
+        seed = xxhash.xxh64_intdigest(x, seed)
+    return seed
+
+
+def test_mixed_rows_hold_the_words_taken(spark, docs, odd, none):
+    twin = spark.createDataFrame([(1, "a b c d e f g h i j " * 9, "en", "a", 180)] * 700 + [(1, "a b c d e f g h i j " * 9, "en", "b", 180)] * 30 + [(2, "x y z", "en", "c", 5), (2, "x y z", "fr", "c", 5)], SCHEMA)
+    for df in (docs, odd, twin):
+        plan = mixing.taken(mixing.mix(df)).collect()
         out = mixing.mixed(df)
-        assert out.columns == df.columns
+        assert out.columns == df.columns and len(plan) == df.count()
         taken = Counter()
-        for r in out.select("doc_id", "text", "n_chars").collect():
-            taken[r["doc_id"]] += len(words(r["text"]))
+        for r in out.select("doc_id", "source", "text", "n_chars").collect():
+            taken[r["doc_id"], r["source"]] += len(words(r["text"]))
             assert r["n_chars"] == len(r["text"])
         want = Counter()
         for r in plan:
-            want[r["id"]] += r["taken"]
+            want[r["id"], r["source"]] += r["taken"]
         assert +taken == +want
     assert mixing.mixed(none).count() == 0
     assert mixing.leading("a b  c", 2) == "a b"
 
 
+def test_many_sources(spark):
+    rows = [(k, "word " * (1 + k % 7), "en", f"host{k}", 0) for k in range(12_000)]
+    got = mixing.taken(mixing.mix(spark.createDataFrame(rows, SCHEMA), block=1)).agg(F.sum("taken"), F.sum("size"), F.count("*")).first()
+    assert got[2] == len(rows) and abs(got[0] - 1.5 * got[1]) <= 1
+
+
 # near-duplicates
 
 
