@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, words
 
 LANE = 1 << 32 | 1
-BUCKETS = 1024
+#: Characters of a bucket of neighbours, and the most bounds of buckets that go to the driver.
+BUCKET_CHARS, MOST_BUCKETS = 1 << 22, 1 << 16
 
 
 def signed(x: int) -> int:
@@ -53,22 +55,25 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def in_order(docs: DataFrame, id_col: str, text_col: str, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """(bucket, at, halo, id, text): buckets of consecutive ids, each led by the row before it.
 
-    Quantiles of the ids bound the buckets (at most BUCKETS longs go to the driver). Every bound is an
-    id, so the row that precedes a bucket is the last of the one below and is sent to both; the lowest
-    bucket is led by the highest document. No order over all rows is ever made.
+    Quantiles of the ids bound the buckets, one for each ``bucket_chars`` characters of text (at most MOST_BUCKETS
+    longs go to the driver; beyond that buckets grow, and their sorts spill). Every bound is an id, so the row that
+    precedes a bucket is the last of the one below and is sent to both; the lowest bucket is led by the highest
+    document. No order over all rows is ever made.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    steps = [F.lit(k / BUCKETS) for k in range(1, BUCKETS)]
-    got = rows.agg(F.percentile_approx("id", F.array(*steps), 20 * BUCKETS).alias("q"), F.max("id").alias("top")).first()
-    bounds, top = sorted(set(got["q"] or [])), got["top"]
-    padded = F.array(*[F.lit(b) for b in bounds + [(1 << 63) - 1] * (BUCKETS - len(bounds))])
-    step = BUCKETS.bit_length() - 1  # binary search: how many bounds lie below the id
+    told = rows.agg(F.coalesce(F.sum(F.char_length("text").cast("long")), F.lit(0)).alias("chars"), F.max("id").alias("top")).first()
+    wanted = max(2, min(MOST_BUCKETS, told["chars"] // bucket_chars + 1))
+    got = rows.agg(F.percentile_approx("id", F.lit(np.arange(1, wanted) / wanted), 4 * wanted + 1000).alias("q")).first()
+    bounds, top = sorted(set(got["q"] or [])), told["top"]
+    step = (len(bounds) + 1).bit_length()  # binary search: how many bounds lie below the id
+    padded = F.lit(np.array(bounds + [(1 << 63) - 1] * ((1 << step) - len(bounds)), dtype=np.int64))
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(step))])
-    below = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.element_at(F.col("bounds"), at + h) < F.col("id"), at + h).otherwise(at))
-    placed = rows.withColumn("bounds", padded).withColumn("bucket", F.coalesce(below, F.lit(0))).withColumn("edge", F.coalesce(F.array_contains("bounds", F.col("id")), F.lit(False))).drop("bounds")
+    below = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.element_at(padded, at + h) < F.col("id"), at + h).otherwise(at))
+    placed = rows.withColumn("bucket", F.coalesce(below, F.lit(0)))
+    placed = placed.withColumn("edge", F.coalesce(F.element_at(padded, F.col("bucket") + 1) == F.col("id"), F.lit(False)))
     homes = F.array_compact(
         F.array(
             F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo")),
@@ -121,10 +126,10 @@ def within(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int =
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = cut(edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    asked = found.filter(F.col("id") % 100 == 0)
+    asked, others = found.filter(F.col("id") % 100 == 0), found.filter(~F.coalesce(F.col("id") % 100 == 0, F.lit(False)))
     near = within(asked, found).groupBy("query").agg(F.sum("n").alias("n_within"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    counted = found.join(near, (F.col("id") % 100 == 0) & (F.col("fp") == F.col("query")), "left")
+    counted = asked.join(near, F.col("fp") == F.col("query")).drop("query").unionByName(others.withColumn("n_within", F.lit(None).cast("long")))
     return counted.select(
         F.col("id").alias("doc_id"),
         "n_chars",

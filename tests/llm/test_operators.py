@@ -603,6 +603,14 @@ def test_edits_of_odd_rows(odd, none, spark):
     assert len(rows) == odd.count()
     assert {r["fp"] for r in rows if r["id"] in (2, 3, 6)} == {0}
     assert fingerprints.edited_pairs(none).count() == 0
+    some = [(k // 3 * 7, f"text {k} " * (k % 5)) for k in range(400)]
+    by = {}
+    for chars in (1, 100, 1 << 22):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        got = fingerprints.in_order(df, "doc_id", "text", chars).filter("not halo").select("id", "text", "next_text").collect()
+        assert len(got) == len(some)
+        by[chars] = sorted(map(tuple, got))
+    assert by[1] == by[100] == by[1 << 22]
     one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
     assert fingerprints.edited_pairs(one).first()["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
