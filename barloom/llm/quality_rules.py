@@ -34,6 +34,8 @@ BLANKS = " \t\n\v\f\r"
 REMEMBERED, LONGEST = 300_000, 64
 #: Texts of one batch whose words are cut together, in characters.
 TOGETHER = 1 << 22
+#: Words beyond which windows are counted by numbers.
+MANY = 4096
 #: Median entropy by length class, the last for all longer ones (medians over sf0.1 documents from 2^6 tokens on).
 USUAL = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 5.8, 6.09, 6.36, 6.57, 6.72, 6.83, 6.9, 7.0)
 
@@ -83,8 +85,23 @@ def base(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
     chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [line for line in text.split("\n") if line.strip(BLANKS)]
-    again = 0
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated(words)
+
+
+def repeated(words: list[str]) -> int:
+    """Words in three-word windows that occur twice or more; a text of many words is counted by the numbers of its words."""
+    if len(words) > MANY:
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+        two = np.unique(at[:-1] * len(place) + at[1:], return_inverse=True)[1]
+        _, which, times = np.unique(two[:-1] * len(place) + at[2:], return_inverse=True, return_counts=True)
+        often = times[which] > 1
+        hit = np.zeros(len(words), dtype=bool)
+        for k in range(3):
+            hit[k : len(often) + k] |= often
+        return int(hit.sum())
     windows = list(zip(words, words[1:], words[2:], strict=False))
+    again = 0
     if len(set(windows)) < len(windows):
         often = {w for w, c in Counter(windows).items() if c > 1}
         reach = 0
@@ -92,7 +109,7 @@ def base(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
             if w in often:
                 again += k + 3 - max(reach, k)
                 reach = k + 3
-    return n, chars, symbols, len(lines) - len(set(lines)), again
+    return again
 
 
 def split_words(text: str) -> list[str]:

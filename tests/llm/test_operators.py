@@ -408,6 +408,67 @@ def test_rules_keep_good_documents(spark):
     assert sum(r["kept"] for r in poor) <= 0.2 * len(poor)
 
 
+def test_verdicts_against_plain_loops(spark):
+    """Measures, bands and verdicts from the library and the definition, document by document."""
+    import sentencepiece
+
+    sf = "/root/testdata/sf0.01"
+    lib = sentencepiece.SentencePieceProcessor(model_file=quality_rules.default_path())
+    rows = {}
+    for i, t, lang in duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall():
+        ids = [x for w in words(t) for x in lib.encode(w.decode())]
+        base = brute_base(t)
+        share = [c / len(ids) for c in Counter(ids).values()]
+        rows[i] = {
+            "failed": base[0] < 50 or 100 * base[4] > 50 * base[0],
+            "cpt": base[1] / len(ids) if ids else None,
+            "entropy": abs(-sum(p * math.log2(p) for p in share)) if ids else None,
+            "bare": sum(lib.is_byte(x) for x in ids) / len(ids) if ids else None,
+            "group": lang or "",
+            "length": int(math.log2(max(1, len(ids)))),
+        }
+    usual = lambda n: quality_rules.USUAL[min(n, len(quality_rules.USUAL) - 1)]
+    points = {(r["group"], r["length"], r["cpt"], round(r["entropy"], 9)) for r in rows.values() if not r["failed"]}
+
+    def band(of, entropy):
+        found = [p for p in points if of(p)]
+        if len(found) < 40:
+            return None
+        quarter = lambda xs: (sorted(xs)[math.ceil(0.5 * len(xs)) - 1], sorted(xs)[math.ceil(0.75 * len(xs)) - 1])
+        (c, c3), (e, e3) = quarter([p[2] for p in found]), quarter([entropy(p) for p in found])
+        return c, max(2 * (c3 - c), 0.05), e, max(2 * (e3 - e), 0.15)
+
+    known = {}
+
+    def bands(group, length):
+        if (group, length) not in known:
+            own = band(lambda p: p[:2] == (group, length), lambda p: p[3]) or band(lambda p: p[1] == length, lambda p: p[3])
+            if not own:
+                c, cs, e, es = band(lambda p: p[0] == group, lambda p: p[3] - usual(p[1])) or band(lambda p: True, lambda p: p[3] - usual(p[1]))
+                own = c, cs, e + usual(length), es
+            known[group, length] = own
+        return known[group, length]
+
+    got = {r["doc_id"]: r for r in QUERIES["op4_quality_rules"](spark, sf).collect()}
+    kept = {}
+    for i, r in rows.items():
+        ok = not r["failed"]
+        if ok:
+            c, cs, e, es = bands(r["group"], r["length"])
+            c, e = (r["cpt"] - c) / cs, (r["entropy"] - e) / es
+            ok = not (abs(c) > 6 or e < -5 or (c < -1.75 and e < -1.75) or r["bare"] > 0.2)
+            assert got[i]["chars_per_token"] == pytest.approx(r["cpt"], abs=1e-6) and got[i]["entropy"] == pytest.approx(r["entropy"], abs=1e-6) and got[i]["byte_share"] == pytest.approx(r["bare"], abs=1e-6)
+        kept[i] = ok
+    assert {i: r["kept"] for i, r in got.items()} == kept
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_repeated_words_of_long_texts(seed):
+    rng = random.Random(seed)
+    text = [f"w{min(rng.randrange(60), rng.randrange(90))}" for _ in range(6000 + seed)]
+    assert quality_rules.repeated(text) == brute_base(" ".join(text))[4]
+
+
 def test_rules_judge_where_documents_are_few(spark):
     rng = random.Random(5)
     some = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(24)]
