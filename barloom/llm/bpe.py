@@ -30,8 +30,8 @@ from .common import map_batches, state, texts
 
 #: Letters and signs for which normalising is lower-casing: printable ASCII and Latin-1 letters.
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Words remembered, and a quarter as many fragments.
-REMEMBERED = 250_000
+#: Words remembered, as many from before, and a quarter as many fragments.
+REMEMBERED = 200_000
 INFINITE = 1 << 60
 
 
@@ -50,7 +50,8 @@ class Encoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.made = [self.vocab[a + b] for a, b in merges]
         self.ranks = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in reversed(list(enumerate(merges)))}
-        self.joined = {pair for token in self.vocab for pair in self._pairs(token)}
+        #: Ranks of all pairs that stand side by side inside some token; any other pair is a certain cut.
+        self.joined = {pair: self.ranks.get(pair[0] << 20 | pair[1], INFINITE) for token in self.vocab for pair in self._pairs(token)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -63,23 +64,23 @@ class Encoder:
         self.last = {c: self.vocab[c + self.end] for c in self.letter.values()}
         self.fragments: dict[tuple[int, ...], list[int]] = {}
         self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.before: dict[bytes, tuple[bytes, str]] = {}
 
-    def _pairs(self, token: str) -> Iterator[int]:
-        """Keys of the neighbouring start symbols inside a token; the end mark belongs to the last symbol."""
+    def _pairs(self, token: str) -> Iterator[tuple[int, int]]:
+        """The neighbouring start symbols inside a token; the end mark belongs to the last symbol."""
         ended = self.end and token.endswith(self.end) and len(token) > len(self.end)
         body = token[: -len(self.end)] if ended else token
         try:
             ids = [self.vocab[c] for c in body[:-1]] + [self.vocab[body[-1] + self.end if ended else body[-1]]]
         except KeyError:  # a special token is never built by merges
             return iter(())
-        return (a << 20 | b for a, b in zip(ids, ids[1:], strict=False))
+        return zip(ids, ids[1:], strict=False)
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Merges a fragment: lowest rank first, leftmost among equals."""
+    def _merge(self, ids: list[int], near: list[int]) -> list[int]:
+        """Merges a fragment, near its neighbours' ranks: lowest rank first, leftmost among equals."""
         if len(ids) > 100:
             return self._merge_long(ids)
         get, made = self.ranks.get, self.made
-        near = [get(a << 20 | b, INFINITE) for a, b in zip(ids, ids[1:], strict=False)]
         while near:
             r = min(near)
             if r == INFINITE:
@@ -113,11 +114,11 @@ class Encoder:
                 heapq.heappush(heap, (r, j, ids[j], ids[k]))
         return [i for i in ids if i >= 0]
 
-    def _fragment(self, ids: list[int]) -> list[int]:
+    def _fragment(self, ids: list[int], near: list[int]) -> list[int]:
         key = tuple(ids)
         found = self.fragments.get(key)
         if found is None:
-            found = self._merge(ids)
+            found = self._merge(ids, near)
             if len(key) <= 32:
                 if len(self.fragments) >= REMEMBERED // 4:
                     self.fragments.clear()
@@ -127,15 +128,15 @@ class Encoder:
     def _piece(self, piece: str) -> list[int]:
         """Tokens of one piece of the splitter, in byte letters: cut where no token can reach over."""
         ids = [*map(self.inner.__getitem__, piece[:-1]), self.last[piece[-1]]]
-        keys = [a << 20 | b for a, b in zip(ids, ids[1:], strict=False)]
-        if self.joined.issuperset(keys):
-            return self._merge(ids)
+        near = list(map(self.joined.get, zip(ids, ids[1:], strict=False)))
+        if None not in near:
+            return self._merge(ids, near)
         out, start = [], 0
-        for k, key in enumerate(keys, 1):
-            if key not in self.joined:
-                out += self._fragment(ids[start:k]) if k - start > 1 else ids[start:k]
+        for k, rank in enumerate(near, 1):
+            if rank is None:
+                out += self._fragment(ids[start:k], near[start : k - 1]) if k - start > 1 else ids[start:k]
                 start = k
-        return out + self._fragment(ids[start:])
+        return out + self._fragment(ids[start:], near[start:])
 
     def _word(self, word: str) -> list[int]:
         out: list[int] = []
@@ -155,14 +156,16 @@ class Encoder:
 
     def word(self, word: bytes) -> tuple[bytes, str]:
         """(ids as int32 bytes, tokens joined by a space) of a word without ASCII white space."""
-        found = self.known.get(word)
+        found = self.before.get(word)
         if found is None:
             ids = self._word(word.decode())
             found = array("i", ids).tobytes(), " ".join(map(self.tokens.__getitem__, ids))
-            if len(word) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
+            if len(word) > 64:
+                return found
+        if len(self.known) >= REMEMBERED:  # the words met since the last time stay at hand
+            self.before = dict(self.known)
+            self.known.clear()
+        self.known[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:

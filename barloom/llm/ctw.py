@@ -24,6 +24,7 @@ count is 0 and every decision has probability 1/2.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts
+from .common import cut, map_batches, state, texts
 
 WORD, GRAM, UNTRAINED = 0, 1, 2
 #: The key of a text's end among words: no word hashes from an empty string.
@@ -393,26 +394,32 @@ class Scorer:
         self.logs = np.log10(counts + 0.1)
         self.known: dict[bytes, int] = {}
 
-    def _place(self, word: bytes) -> int:
-        """The word's place among the frequent ones, or -1."""
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        k = int(np.searchsorted(self.hashes, h))
-        k = k if k < len(self.hashes) and self.hashes[k] == h else -1
-        if len(word) <= 64:
-            if len(self.known) >= HELD:
-                self.known.clear()
-            self.known[word] = k
-        return k
+    def _learn(self, new: list[bytes]) -> list[int]:
+        """The words' places among the frequent ones, or -1; those of short words are remembered."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        k = np.searchsorted(self.hashes, h)
+        met = np.zeros(len(new), dtype=bool)
+        inside = k < len(self.hashes)
+        met[inside] = self.hashes[k[inside]] == h[inside]
+        places = np.where(met, k, -1).tolist()
+        if len(self.known) + len(new) >= HELD:
+            self.known.clear()
+        self.known.update((w, p) for w, p in zip(new, places, strict=True) if len(w) <= 64)
+        return places
 
     def words(self, text: bytes) -> tuple[int, float, dict[bytes, int]]:
         """(frequent words, their sum of log10(c + 0.1), counts of the others)."""
         found = text.split()
-        get, place = self.known.get, self._place
-        at = np.array([k if (k := get(w)) is not None else place(w) for w in found], dtype=np.int64)
-        if not len(at):
+        if not found:
             return 0, 0.0, {}
+        places = list(map(self.known.get, found))
+        if None in places:
+            new = list({w for k, w in zip(places, found, strict=True) if k is None})
+            got = dict(zip(new, self._learn(new), strict=True))
+            places = [got[w] if k is None else k for k, w in zip(places, found, strict=True)]
+        at = np.array(places, dtype=np.int64)
         common = at[at >= 0]
-        rare = Counter([found[k] for k in np.flatnonzero(at < 0)]) if len(common) < len(at) else {}
+        rare = Counter([found[k] for k in np.flatnonzero(at < 0).tolist()]) if len(common) < len(at) else {}
         return len(common), float(self.logs[common].sum()), rare
 
     def codes(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -432,14 +439,17 @@ class Scorer:
         return units, text, key, n
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(*shared.value)
+def _score(batches: Iterator[pa.RecordBatch], shared, run: str) -> Iterator[pa.RecordBatch]:
+    scorer = state(("ctw", run), lambda: Scorer(*shared.value))  # one table a worker, not a task
     for b in batches:
         got = [t.encode("utf-8", "surrogatepass").lower() for t in texts(b)]
         units, text, key, n = scorer.codes(got)
         ends = pa.array(np.searchsorted(text, np.arange(len(got) + 1)), pa.int32())
         words = [scorer.words(t) for t in got]
-        hashes = [[np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64) for w in rare] for _, _, rare in words]
+        rare_ends = pa.array(np.cumsum([0, *(len(r) for _, _, r in words)]), pa.int32())
+        rare = [w for _, _, r in words for w in r]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, rare), np.uint64, len(rare)).view(np.int64)
+        times = np.fromiter((n for _, _, r in words for n in r.values()), np.int64, len(rare))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("row"),
@@ -451,8 +461,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 pa.array(units),
                 pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))),
                 pa.ListArray.from_arrays(ends, pa.array(n, pa.int64())),
-                pa.array(hashes, pa.list_(pa.int64())),
-                pa.array([list(r.values()) for _, _, r in words], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(rare_ends, pa.array(hashes)),
+                pa.ListArray.from_arrays(rare_ends, pa.array(times)),
             ],
             names=["row", "id", "n_tokens", "n_bytes", "n_common", "common", "units", "windows", "often", "rare", "times"],
         )
@@ -477,9 +487,10 @@ def score_texts(docs: DataFrame, train: Column | None = None, depth: int = 5, cr
     codes = window_codes(cut(counts.filter(F.col("kind") != WORD).groupBy("key").agg(trained.alias("n"), F.sum("n").alias("m"))), depth)
     common = common_windows(codes, crowd)
     shared = spark.sparkContext.broadcast((depth, common.column("key").to_numpy().view(np.uint64), common.column("code").to_numpy(), hashes[order], often.column("n").to_numpy()[order]))
+    run = uuid.uuid4().hex
     lists = "windows array<long>, often array<long>, rare array<long>, times array<long>"
     schema = f"row long, id long, n_tokens long, n_bytes long, n_common long, common double, units long, {lists}"
-    scored = cut(map_batches(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text"), lambda it: _score(it, shared), schema))
+    scored = cut(map_batches(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text"), lambda it: _score(it, shared, run), schema))
     shared.unpersist()
     others = scored.filter(F.size("windows") > 0).select("row", F.explode(F.arrays_zip("windows", "often")).alias("x")).select("row", F.col("x.windows").alias("key"), F.col("x.often").alias("often"))
     more = others.join(codes.select("key", "code"), "key").groupBy("row").agg(F.sum(F.col("often") * F.col("code")).alias("more"))
