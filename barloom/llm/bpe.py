@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, state, texts
+from .common import map_batches, state
 
 #: Letters and signs for which normalising is lower-casing: printable ASCII and Latin-1 letters.
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: Words remembered, as many from before, and a quarter as many fragments.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 INFINITE = 1 << 60
 
 
@@ -175,15 +175,15 @@ class Encoder:
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], path: str, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], path: str, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     enc = state(("bpe", path), lambda: Encoder(path))
     for b in batches:
-        ids, rows = b.column("id"), texts(b)
+        ids, rows = b.column("id"), b.column("text")
         start = 0
         while start < len(rows):
             got, held = [], 0
             while start + len(got) < len(rows) and held < size:
-                got.append(enc.encode(rows[start + len(got)]))
+                got.append(enc.encode(rows[start + len(got)].as_py() or ""))
                 held += len(got[-1][0]) + len(got[-1][1])
             offsets = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(g[0] for g in got), dtype=np.int32))

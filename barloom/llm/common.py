@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -93,14 +95,24 @@ def whole_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 _state: dict = {}
 
 
+def release() -> None:
+    """Hands memory that a worker no longer uses back to the system, as the C library allows."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def state(key: object, make: Callable[[], object]) -> object:
     """What an operator remembers in a Python worker from task to task; another operator's memory makes way for it."""
     if key not in _state:
         _state.clear()
+        release()
         _state[key] = make()
     return _state[key]
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The texts of a batch, null as the empty text."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+def each_text(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
+    """The texts of a batch one by one, null as the empty text; so a batch of long texts isn't held twice."""
+    return (x.as_py() or "" for x in batch.column(column))

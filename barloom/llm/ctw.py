@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, state, texts
+from .common import cut, map_batches, state, each_text
 
 WORD, GRAM, UNTRAINED = 0, 1, 2
 #: The key of a text's end among words: no word hashes from an empty string.
@@ -300,7 +300,7 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 
     for b in batches:
         dealt: dict[int, list[bytes]] = {GRAM: [], UNTRAINED: []}
-        for t, train in zip(texts(b), b.column("train").to_pylist(), strict=True):
+        for t, train in zip(each_text(b), b.column("train").to_pylist(), strict=True):
             t = t.encode("utf-8", "surrogatepass").lower()
             dealt[GRAM if train else UNTRAINED].append(t)
             if train:
@@ -442,7 +442,7 @@ class Scorer:
 def _score(batches: Iterator[pa.RecordBatch], shared, run: str) -> Iterator[pa.RecordBatch]:
     scorer = state(("ctw", run), lambda: Scorer(*shared.value))  # one table a worker, not a task
     for b in batches:
-        got = [t.encode("utf-8", "surrogatepass").lower() for t in texts(b)]
+        got = [t.encode("utf-8", "surrogatepass").lower() for t in each_text(b)]
         units, text, key, n = scorer.codes(got)
         ends = pa.array(np.searchsorted(text, np.arange(len(got) + 1)), pa.int32())
         words = [scorer.words(t) for t in got]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, each_text
 
 #: Public license notices in their usual words, by license and form.
 NOTICES = {
@@ -241,7 +241,7 @@ class Scanner:
 def _batches(batches: Iterator[pa.RecordBatch], templates: dict[str, str], least: float, stretch: float) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(templates, least, stretch)
     for b in batches:
-        got = [scanner.scan(t) for t in texts(b)]
+        got = [scanner.scan(t) for t in each_text(b)]
         best = [g[0] if g else (None,) * 5 for g in got]
         columns = list(zip(*best, strict=True)) if best else [[]] * 5
         yield pa.RecordBatch.from_arrays(

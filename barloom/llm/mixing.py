@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, cut, map_batches, n_words, texts, whole_key
+from .common import beside, cut, map_batches, n_words, each_text, whole_key
 
 WEIGHTS = (3, 1, 2)
 KEY = ["key_id", "key_null", "key_text", "key_source", "key_row"]
@@ -210,7 +210,7 @@ def leading(text: str, n: int) -> str:
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [leading(t, n) for t, n in zip(texts(b), b.column("last").to_pylist(), strict=True)]
+        got = [leading(t, n) for t, n in zip(each_text(b), b.column("last").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(got, pa.string())], names=["doc", "cut"])
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, map_batches, state, texts
+from .common import attach, map_batches, state, each_text
 
 BITS = 18
 REMEMBERED = 300_000
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8192, seed: int = 17, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in texts(b)]
+            got = [features(t) for t in each_text(b)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("at"), b.column("id"), b.column("label"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
                 names=["at", "id", "label", "places", "values"],
@@ -120,7 +120,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float], c
     weights, bias = model
     for b in batches:
         out = np.empty(b.num_rows)
-        for k, t in enumerate(texts(b)):
+        for k, t in enumerate(each_text(b)):
             places, values = features(t)
             out[k] = weights[places].astype(np.float64) @ values.astype(np.float64) + bias
         yield pa.RecordBatch.from_arrays([b.column(carried), pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))], names=[carried, "score"])

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, map_batches, small, state, texts
+from .common import attach, cut, each_text, map_batches, small, state
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Words whose tokens are remembered, and the longest that is.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Texts of one batch whose words are cut together, in characters.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Words beyond which windows are counted by numbers.
 MANY = 4096
 #: Median entropy by length class, the last for all longer ones (medians over sf0.1 documents from 2^6 tokens on).
@@ -117,21 +117,28 @@ def split_words(text: str) -> list[str]:
     return text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w.decode() for w in text.encode().split()]
 
 
+def together(found: Iterator[str]) -> Iterator[list[str]]:
+    """Runs of texts of about TOGETHER characters; a longer text stands alone."""
+    rows, size = [], 0
+    for t in found:
+        rows.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def _measure(batches: Iterator[pa.RecordBatch], path: str, carried: tuple[str, ...] = ("id", "lang")) -> Iterator[pa.RecordBatch]:
     cutter = state(("cutter", path), lambda: Cutter(path))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens"]
     for b in batches:
-        rows = texts(b)
         out: list[tuple] = []
-        start = 0
-        while start < len(rows):
-            stop, size = start, 0
-            while stop < len(rows) and size < TOGETHER:
-                size += len(rows[stop])
-                stop += 1
-            split = [split_words(t) for t in rows[start:stop]]
+        for rows in together(each_text(b)):
+            split = [split_words(t) for t in rows]
             cuts = cutter.learn({w for words in split for w in words})
-            for text, words in zip(rows[start:stop], split, strict=True):
+            for text, words in zip(rows, split, strict=True):
                 ids = np.frombuffer(b"".join([cuts[w] for w in words]), dtype=np.int32)
                 if len(ids):
                     share = np.bincount(ids)
@@ -140,7 +147,6 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str, carried: tuple[str, .
                     out.append((*base(text, words), len(ids), bare, abs(float(-(share * np.log2(share)).sum()))))
                 else:
                     out.append((*base(text, words), 0, 0, None))
-            start = stop
         columns = list(zip(*out, strict=True)) if out else [[]] * 8
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.float64())], names=[*carried, *names, "entropy"])
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts, whole_key
+from .common import cut, each_text, map_batches, whole_key
 
 CHUNK = 1 << 16
 
@@ -56,10 +56,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = texts(b, "text")
-            fp = np.array([fingerprint(t, shingle) for t in got], dtype=np.uint64).view(np.int64)
-            near = np.array([fingerprint(t, second) for t in got], dtype=np.uint64).view(np.int64) if second else np.zeros(len(got), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fp), pa.array(near)], names=["id", "hash", "fp", "near"])
+            got = [(fingerprint(t, shingle), fingerprint(t, second) if second else 0) for t in each_text(b)]
+            marks = np.array(got, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["id", "hash", "fp", "near"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))

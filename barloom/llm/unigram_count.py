@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, state, texts
+from .common import map_batches, state, each_text
 
 MARK = "▁"
 PENALTY = 10.0
@@ -103,7 +103,7 @@ class Counter:
 def _batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = state(("unigram", path), lambda: Counter(vocabulary(path)))
     for b in batches:
-        got = [counter.text(t) for t in texts(b)]
+        got = [counter.text(t) for t in each_text(b)]
         columns = list(zip(*got, strict=True)) if got else [[]] * 4
         yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], names=["id", "n_words", "n_tokens", "n_bytes", "score"])
 
