@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, each_text, map_batches, whole_key
 
 CHUNK = 1 << 16
+#: Odd numbers that mix a hash.
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -106,10 +108,29 @@ def forest(fp: np.ndarray, near: np.ndarray, rule: Rule) -> list[np.ndarray]:
     return out
 
 
-def tree(members: np.ndarray, arity: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links that hold a group together with no member in more than arity + 1 of them."""
-    k = np.arange(1, len(members))
-    return members[(k - 1) // arity], members[k]
+def tree(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places of child and parent) that hold a group together, one less than its members.
+
+    A member's hash gives it a level, each level a sixteenth of the one below; it links to the next higher member in hash
+    order. So no member has many links in a bucket, and buckets that share members mostly give the same links.
+    """
+    h = marks * MIX
+    h ^= h >> np.uint64(31)
+    order = np.argsort(h, kind="stable")
+    level, rest, at = np.zeros(len(h), np.int64), h[order], np.arange(len(h))
+    while len(at := at[(rest[at] & np.uint64(15)) == 0]) and level[at[0]] < 15:
+        level[at] += 1
+        rest[at] >>= np.uint64(4)
+    child, parent = [], []
+    for k in range(int(level.max()) + 1):
+        mine, higher = np.flatnonzero(level == k), np.flatnonzero(level > k)
+        if len(higher):
+            child.append(mine)
+            parent.append(higher[np.searchsorted(higher, mine) % len(higher)])
+        else:
+            child.append(mine[1:])
+            parent.append(np.full(len(mine) - 1, mine[0]))
+    return order[np.concatenate(child)], order[np.concatenate(parent)]
 
 
 LINKS = "fp long, near long, to_fp long, to_near long, mask int"
@@ -127,7 +148,9 @@ def _links(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
             return [none] * 4, -1
         if rule.crowded and len(fp) > rule.crowded:
             return [fp, near, fp, near], key[0]
-        a, z = (np.concatenate(x) for x in zip((none.astype(int),) * 2, *map(tree, forest(fp, near, rule)), strict=True))
+        marks = fp if rule.limit >= 64 else fp ^ near * ODD
+        groups = forest(fp, near, rule)
+        a, z = (np.concatenate(x) for x in zip((none.astype(int),) * 2, *((g[c], g[p]) for g in groups for c, p in (tree(marks[g]),)), strict=True))
         return [fp[a], near[a], fp[z], near[z]], -1
 
     def rows(found: list[tuple[list, int]]) -> pa.RecordBatch:

@@ -254,6 +254,23 @@ def test_links_hold_exactly_the_classes(spark, crowded):
     assert max(degree.values()) <= 17 * 20
 
 
+@pytest.mark.parametrize("size", [2, 3, 17, 400, 5000])
+def test_a_tree_joins_its_members(size):
+    marks = np.array([random.Random(size + k).getrandbits(64) for k in range(size)], dtype=np.uint64)
+    child, parent = simhash_dedup.tree(marks)
+    assert len(child) == size - 1
+    group = list(range(size))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in zip(child.tolist(), parent.tolist(), strict=True):
+        group[find(a)] = find(b)
+    assert len({find(k) for k in range(size)}) == 1 and max(Counter(parent.tolist()).values()) <= 250
+
+
 @pytest.mark.parametrize("crowded", [1 << 15, 3])
 def test_second_fingerprints_hold_links_back(spark, crowded):
     rng = random.Random(11)
