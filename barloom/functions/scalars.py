@@ -68,7 +68,7 @@ def time_features(ts: str | Column) -> dict[str, Column]:
     """Sine and cosine of hour, minute and weekday (Monday 0) of epoch seconds, UTC."""
     t = F.timestamp_seconds(col(ts))
     out = {}
-    for name, part, period in (("hour", F.hour(t) + F.minute(t) / 60, 24), ("minute", F.minute(t), 60), ("dow", F.weekday(t), 7)):
+    for name, part, period in (("hour", F.hour(t), 24), ("minute", F.minute(t), 60), ("dow", F.weekday(t), 7)):
         out[f"{name}_sin"], out[f"{name}_cos"] = cyclic(part, period)
     return out
 

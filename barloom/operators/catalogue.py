@@ -13,15 +13,21 @@ from __future__ import annotations
 import re
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EPS, clip, time_features
+from ..functions.scalars import EPS, clip, filled_in_era, time_features
 from ..functions.windows import along, rolling, rolling_time
 from .joins import nearest
 
 HOUR = 3600
 DAY = 24 * HOUR
+#: Percent from the mid where a wall that isn't there stands.
+WALL_BAND = 0.3
+#: Sums and the maximum of liquidations: none is zero, in bars of the era that counts them.
+LIQUIDATIONS = ("opt_long_force_exit_cnt_sum", "opt_short_force_exit_cnt_sum", "opt_long_force_exit_notional_sum", "opt_short_force_exit_notional_sum", "opt_force_exit_notional_max")
+#: Neutral at 0: filled inside the era, a day after it began.
+NEUTRAL = ("eth_ret_z", "eth_lead_gap", "lsr_z")
 NAME = re.compile(r"`([^`]+)`|\b((?:spot|future|opt)_\w+)\b")
 
 
@@ -41,7 +47,7 @@ def point_features(lead: str, other: str, deep: str | None, deepest: str | None)
         "book_imbalance": difference(at("bid", "0.0"), at("ask", "0.0")),
         "momentum": f"{lead}_price_diff",
         "vwap_spread": f"{lead}_buy_vwap - {lead}_sell_vwap",
-        "liq_flag": "if(coalesce(opt_long_force_exit_qty_sum, 0) + coalesce(opt_short_force_exit_qty_sum, 0) > 0, 1D, 0D)",
+        "liq_flag": "if(coalesce(opt_long_force_exit_qty_sum + opt_short_force_exit_qty_sum, 0) > 0, 1D, 0D)",
         "stochastic": f"if({lead}_bid_max > {lead}_bid_min, try_divide({lead}_bid_close - {lead}_bid_min, {lead}_bid_max - {lead}_bid_min), 0.5D)",
         "spread_expansion": f"{lead}_spread_max - {lead}_spread_open",
         "sample_imbalance": difference(f"{lead}_buy_samples", f"{lead}_sell_samples"),
@@ -68,7 +74,7 @@ def point_features(lead: str, other: str, deep: str | None, deepest: str | None)
         "wall_imbal": difference(f"{lead}_bid_wall_qty_median", f"{lead}_ask_wall_qty_median"),
     }
     for side in ("bid", "ask"):
-        out[f"{side}_wall_dist"] = f"if({lead}_{side}_wall_dist_median < 0, 0.3D, {lead}_{side}_wall_dist_median)"
+        out[f"{side}_wall_dist"] = f"if({lead}_{side}_wall_dist_median >= 0, {lead}_{side}_wall_dist_median, {WALL_BAND!r}D)"
         if deepest:
             out[f"liq_conc_{side}"] = f"{at(side, '0.0')} / ({at(side, deepest)} + {EPS!r})"
     if deep:
@@ -84,7 +90,7 @@ def point_features(lead: str, other: str, deep: str | None, deepest: str | None)
 def rolled_features(lead: str) -> dict[str, tuple[str, str, int]]:
     """name: (z or ratio, SQL of the series, seconds of the frame)."""
     net = lambda side, band: f"{lead}_add_{side}_{band}_sum - {lead}_cancel_{side}_{band}_sum"
-    past_near = lambda kind, side: f"greatest({lead}_{kind}_{side}_wide_sum - {lead}_{kind}_{side}_near_sum, 0D)"
+    past_near = lambda kind, side: _clipped(f"({lead}_{kind}_{side}_wide_sum - {lead}_{kind}_{side}_near_sum)", 0, 1e300)
     beyond = lambda side: f"({past_near('add', side)} - {past_near('cancel', side)})"
     return {
         "ofi_z": ("z", f"{lead}_ofi_sum", 4 * HOUR),
@@ -120,9 +126,12 @@ def features(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",), t
     """
     have = set(bars.columns)
     filled = bars
-    for c in ("opt_long_force_exit_qty_sum", "opt_short_force_exit_qty_sum", *optional):
+    for c, value in (("opt_long_force_exit_qty_sum", 0.0), ("opt_short_force_exit_qty_sum", 0.0), *((c, None) for c in optional)):
         if c not in have:
-            filled, have = filled.withColumn(c, F.lit(None).cast("double")), have | {c}
+            filled, have = filled.withColumn(c, F.lit(value).cast("double")), have | {c}
+    era = f"{lead}_ofi_sum"
+    if era in have:
+        filled = filled.withColumns({c: filled_in_era(c, era) for c in LIQUIDATIONS if c in have})
     step = lambda options: next((s for s in options if f"{lead}_bid_liq_{s}_median" in have), None)
     points = point_features(lead, other, step(("0.05", "0.04", "0.06")), step(("0.4", "0.3", "0.2", "0.1")))
     rolled = rolled_features(lead)
@@ -138,13 +147,14 @@ def features(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",), t
         *[put(sql).alias(name) for name, sql in points.items()],
         *[put(sql).alias(f"_{name}") for name, (_, sql, _) in rolled.items()],
         (put("opt_open_interest_sample")).alias("_oi"),
-        F.coalesce(put("opt_funding_rate_sample"), F.lit(0.0)).alias("_funding"),
+        put("coalesce(nullif(opt_funding_rate_sample, -1), 0D)").alias("_funding"),
+        (F.col(era) if era in have else null).isNotNull().alias("_era"),
         ((F.col(close) - put(f"({stock[0]} + {stock[1]}) / 2")) / (put(f"({stock[0]} + {stock[1]}) / 2") + F.lit(EPS))).alias("_basis"),
         put(f"if({eth[0]} > 0 and {eth[1]} > 0, ln(try_divide({eth[1]}, {eth[0]})), null)").alias("_eth"),
         *[c.alias(n) for n, c in time_features(ts).items()],
     )
     w = along(*keys, by=ts)
-    day = DAY // width
+    day, minute = DAY // width, max(1, 60 // width)
     prior = F.lag("_lp").over(w)
     rows = rows.withColumn("_r1", F.when(F.col(ts) - F.lag(ts).over(w) == width, F.col("_lp") - prior))
     rows = rows.withColumn("_move", F.abs(F.col(close) - F.lag(close).over(w)))
@@ -163,9 +173,10 @@ def features(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",), t
         over("_basis", 4 * HOUR, day // 12, F.stddev_samp).alias("_b_sd"),
         (F.col("_basis") - F.col("_basis_1h")).alias("_b_mom"),
         over("_eth", 4 * HOUR, day // 24, F.stddev_samp).alias("_eth_sd"),
-        rolling("_eth", 12, 12, w, F.sum).alias("_eth12"),
-        rolling("_r1", 12, 12, w, F.sum).alias("_r12"),
-        rolling("_move", 4, 2, w).alias("volatility"),
+        rolling("_eth", minute, minute, w, F.sum).alias("_eth12"),
+        rolling("_r1", minute, minute, w, F.sum).alias("_r12"),
+        rolling("_move", 16, 4, w).alias("volatility"),
+        F.min(F.when(F.col("_era"), F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_since"),
         *_by_rows(w),
     )
     rows = rows.select("*", over("_b_mom", 4 * HOUR, day // 12, F.stddev_samp).alias("_b_mom_sd"), over("_eth12", 4 * HOUR, day // 24, F.stddev_samp).alias("_eth12_sd"), over("_r12", 4 * HOUR, day // 24, F.stddev_samp).alias("_r12_sd"), rolling("volatility", day, max(1, day // 60), w).alias("_vol_day"))
@@ -180,14 +191,17 @@ def features(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",), t
         "eth_ret_z": clip(F.col("_eth") / (F.col("_eth_sd") + F.lit(EPS)), -8.0, 8.0),
         "eth_lead_gap": clip(F.col("_eth12") / (F.col("_eth12_sd") + F.lit(EPS)) - F.col("_r12") / (F.col("_r12_sd") + F.lit(EPS)), -8.0, 8.0),
         "oi_change": F.col("_oi") - F.lag("_oi").over(w),
-        "vol_norm": F.col("volatility") / (F.col("_vol_day") + F.lit(EPS)),
+        "vol_norm": F.when(F.col("_vol_day") != 0, F.col("volatility") / F.col("_vol_day")),
         "near_funding": (F.pmod(F.col(ts), F.lit(8 * HOUR)) > 8 * HOUR - 900).cast("double"),
-        "funding_pressure": F.when(F.pmod(F.col(ts), F.lit(8 * HOUR)) > 8 * HOUR - 900, F.col("_funding")).otherwise(0.0),
+        "funding_pressure": F.col("_funding") * (F.pmod(F.col(ts), F.lit(8 * HOUR)) > 8 * HOUR - 900).cast("double"),
     }
     for name, (how, _, sec) in rolled.items():
         least = day // 4 if sec == DAY else day // 24
         mean = over(f"_{name}", sec, least)
         last[name] = z(f"_{name}", mean, over(f"_{name}", sec, least, F.stddev_samp)) if how == "z" else clip(F.col(f"_{name}") / (mean + F.lit(EPS)), 0.0, 10.0)
+    late = F.col("_era") & (F.col(ts) > F.col("_since") + DAY)
+    for name in NEUTRAL:
+        last[name] = F.coalesce(last[name], F.when(late, F.lit(0.0)))
     done = rows.select("*", *[c.alias(n) for n, c in last.items()])
     return done.select(*[c for c in done.columns if not c.startswith("_")])
 

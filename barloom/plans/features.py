@@ -107,28 +107,28 @@ def feat_time_roll_ratio(spark, sf_dir):
     return rounded(messages(spark, sf_dir).select("seq", W.time_ratio("value", 4 * HOUR, 2, by_key()).alias("ratio"), W.rolling_time("value", 4 * HOUR, 2, by_key(), F.max).alias("hi"), W.rolling_time("value", 4 * HOUR, 2, by_key(), F.min).alias("lo")))
 
 
-@query("""WITH e AS (SELECT event_id, (epoch_us(ts) // 1000000) AS s, make_timestamp((epoch_us(ts) // 1000000) * 1000000) AS t FROM events), a AS (SELECT event_id, (hour(t) + minute(t) / 60.0) * 2 * pi() / 24 AS h, minute(t) * 2 * pi() / 60 AS m, (isodow(t) - 1) * 2 * pi() / 7 AS d FROM e)
+@query("""WITH e AS (SELECT event_id, (epoch_us(ts) // 1000000) AS s, make_timestamp((epoch_us(ts) // 1000000) * 1000000) AS t FROM events), a AS (SELECT event_id, hour(t) * 2 * pi() / 24 AS h, minute(t) * 2 * pi() / 60 AS m, (isodow(t) - 1) * 2 * pi() / 7 AS d FROM e)
 SELECT event_id, round(sin(h), 6) AS hour_sin, round(cos(h), 6) AS hour_cos, round(sin(m), 6) AS minute_sin, round(cos(m), 6) AS minute_cos, round(sin(d), 6) AS dow_sin, round(cos(d), 6) AS dow_cos FROM a""")
 def feat_cyclic_time(spark, sf_dir):
     got = messages(spark, sf_dir).select(F.col("seq").alias("event_id"), *[c.alias(n) for n, c in S.time_features("ts").items()])
     return rounded(got)
 
 
-@query("WITH e AS (SELECT event_id, value, (epoch_us(ts) // 1000000) AS t FROM events), f AS (SELECT *, 28800 - t % 28800 AS left_sec FROM e) SELECT event_id, left_sec, left_sec < 900 AS near_funding, round(CASE WHEN left_sec < 900 THEN value * (1 - left_sec / 900.0) ELSE 0 END, 6) AS funding_pressure FROM f")
+@query("WITH e AS (SELECT event_id, value, (epoch_us(ts) // 1000000) AS t FROM events), f AS (SELECT *, 28800 - t % 28800 AS left_sec FROM e) SELECT event_id, left_sec, left_sec < 900 AS near_funding, round(value * CAST(left_sec < 900 AS INT), 6) AS funding_pressure FROM f")
 def feat_funding_window(spark, sf_dir):
     left = S.to_next("ts", 8 * HOUR)
     got = messages(spark, sf_dir).select(F.col("seq").alias("event_id"), "value", left.alias("left_sec")).withColumn("near_funding", F.col("left_sec") < 900)
-    pressure = F.when(F.col("near_funding"), F.col("value") * (1 - F.col("left_sec") / 900.0)).otherwise(0.0)
+    pressure = F.col("value") * F.col("near_funding").cast("double")
     return rounded(got.select("event_id", "left_sec", "near_funding", pressure.alias("funding_pressure")))
 
 
 @query(f"""WITH {SCORED}, v AS (SELECT stream, bar, CASE WHEN count(abs(ret)) OVER w8 >= 4 THEN avg(abs(ret)) OVER w8 END AS vol FROM scored WINDOW {frame('w8', 8)}),
 q AS (SELECT *, CASE WHEN count(vol) OVER w >= 30 THEN quantile_cont(vol, 1.0/3) OVER w END AS lo, CASE WHEN count(vol) OVER w >= 30 THEN quantile_cont(vol, 2.0/3) OVER w END AS hi FROM v WINDOW {frame('w', 200)})
-SELECT stream, bar, round(vol, 6) AS vol, CASE WHEN vol <= lo THEN 'low' WHEN vol > hi THEN 'high' ELSE 'mid' END AS vol_regime FROM q""")
+SELECT stream, bar, round(vol, 6) AS vol, CASE WHEN vol <= lo THEN 'low' WHEN vol >= hi THEN 'high' ELSE 'mid' END AS vol_regime FROM q""")
 def feat_vol_regime_quantile(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("abs_ret", F.abs("ret")).withColumn("vol", W.rolling("abs_ret", 8, 4, by_bar()))
     marked = rows.withColumn("lo", W.quantile("vol", 1 / 3, 200, 30, by_bar())).withColumn("hi", W.quantile("vol", 2 / 3, 200, 30, by_bar()))
-    regime = F.when(F.col("vol") <= F.col("lo"), "low").when(F.col("vol") > F.col("hi"), "high").otherwise("mid")
+    regime = F.when(F.col("vol") <= F.col("lo"), "low").when(F.col("vol") >= F.col("hi"), "high").otherwise("mid")
     return rounded(marked.select("stream", "bar", "vol", regime.alias("vol_regime")))
 
 

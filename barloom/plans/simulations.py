@@ -171,8 +171,8 @@ def buy_and_hold(spark, sf_dir):
 
 
 @query(f"WITH {PNL} SELECT CAST((bar // 86400 + 3) % 7 AS INT) AS weekday, side, count(*) AS n, round(sum(pnl), 4) AS pnl, round(avg(CAST(pnl > 0 AS INT)), 6) AS win_rate FROM pnl GROUP BY ALL")
-def pnl_by_hour(spark, sf_dir):
-    """By weekday and direction: the tape has no time of day."""
+def pnl_by_weekday(spark, sf_dir):
+    """By weekday and direction."""
     day = F.weekday(F.timestamp_seconds("bar")).cast("int").alias("weekday")
     return results(spark, sf_dir).groupBy(day, "side").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win_rate"))
 

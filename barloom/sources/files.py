@@ -32,15 +32,31 @@ def find_files(spark: SparkSession, folder: str, cadence: int | None = None, rec
     return sorted(out)
 
 
+def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of each file by its whole path: a stream of the file is opened and closed after a line, whatever its length."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out = {}
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        raw = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+            line = lines.readLine()
+        finally:
+            raw.close()
+        if line:
+            out[f] = line.lstrip("\ufeff")
+    return out
+
+
 def headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header; a file's first line is all that is taken of it."""
-    lines = spark.read.option("wholetext", "false").text(files).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"), "value")
-    first = lines.filter("b = 0").groupBy("f").agg(F.min_by("value", "k").alias("h")).collect()  # a line a file
-    known = {r["f"].rpartition("/")[2]: tuple(r["h"].split(SEP)) for r in first}
+    """Files by header."""
     out: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        if h := known.get(f.rpartition("/")[2]):
-            out.setdefault(h, []).append(f)
+    for f, line in first_lines(spark, files).items():
+        out.setdefault(tuple(line.split(SEP)), []).append(f)
     return out
 
 
