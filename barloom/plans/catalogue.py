@@ -85,12 +85,12 @@ def imbal(a: str, b: str, eps: str = EPS) -> str:
     return f"({a} - {b}) / ({a} + {b} + {eps})"
 
 
-def simple(name: str, doc: str, wanted: dict[str, str], before: str = "", source: str = "b", windows: str = SPANS) -> None:
+def simple(name: str, doc: str, wanted: dict[str, str], before: str = "", source: str = "b", windows: str = SPANS, digits: int = 5) -> None:
     """Registers a group whose columns are SQL over the bars."""
-    picked = ", ".join(f"round({sql}, 5) AS {n}" for n, sql in wanted.items())
+    picked = ", ".join(f"round({sql}, {digits}) AS {n}" for n, sql in wanted.items())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return features(spark, sf_dir, *wanted)
+        return features(spark, sf_dir, *wanted, digits=digits)
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
@@ -173,7 +173,7 @@ simple("feat_funding", "The quarter hour before funding, and the rate in it.", {
     "funding_pressure": "CASE WHEN opt_funding_rate_sample IS NULL OR opt_funding_rate_sample = -1 THEN 0.0 ELSE opt_funding_rate_sample END * CASE WHEN 28800 - ts % 28800 < 900 THEN 1.0 ELSE 0.0 END",
 })
 MOVE = ", m AS (SELECT *, abs(close_price - lag(close_price) OVER w) AS move FROM b WINDOW w AS (PARTITION BY stream ORDER BY ts)), v AS (SELECT *, CASE WHEN count(move) OVER r16 >= 4 THEN avg(move) OVER r16 END AS vol FROM m WINDOW " + rows(16) + ")"
-simple("feat_volatility_norm", "Mean move of sixteen bars, against its mean of a day.", {"volatility": "vol", "vol_norm": f"CASE WHEN ({over('vol', 'r96', 1)}) <> 0 THEN vol / ({over('vol', 'r96', 1)}) END"}, MOVE, "v", rows(96))
+simple("feat_volatility_norm", "Mean move of sixteen bars, against its mean of a day.", {"volatility": "vol", "vol_norm": f"CASE WHEN ({over('vol', 'r96', 1)}) <> 0 THEN vol / ({over('vol', 'r96', 1)}) END"}, MOVE, "v", rows(96), 7)
 
 STEP = f", l AS (SELECT *, ln(close_price) AS lp, (close_price - (spot_bid_close + spot_ask_close) / 2) / ((spot_bid_close + spot_ask_close) / 2 + {EPS}) AS basis, CASE WHEN opt_eth_mid_open > 0 AND opt_eth_mid_close > 0 THEN ln(opt_eth_mid_close / opt_eth_mid_open) END AS eth FROM b), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w = 900 THEN lp - lag(lp) OVER w END AS r1 FROM l WINDOW {W})"
 

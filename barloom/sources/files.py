@@ -7,6 +7,7 @@ numbers, duplicated and out-of-order rows, mixed cadences in one folder.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,24 +33,23 @@ def find_files(spark: SparkSession, folder: str, cadence: int | None = None, rec
     return sorted(out)
 
 
-def first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """The first line of each file by its whole path: a stream of the file is opened and closed after a line, whatever its length."""
+def first_lines(spark: SparkSession, files: list[str], at_once: int = 16) -> dict[str, str]:
+    """The first line of each file by its whole path: a file is opened, read to its first line and closed, some at a time."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    out = {}
-    for f in files:
+
+    def first(f: str) -> str | None:
         path = jvm.org.apache.hadoop.fs.Path(f)
         raw = path.getFileSystem(conf).open(path)
         try:
             codec = codecs.getCodec(path)
-            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
-            line = lines.readLine()
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8")).readLine()
         finally:
             raw.close()
-        if line:
-            out[f] = line.lstrip("\ufeff")
-    return out
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return {f: line.lstrip("\ufeff") for f, line in zip(files, pool.map(first, files), strict=True) if line}
 
 
 def headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:

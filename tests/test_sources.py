@@ -97,3 +97,18 @@ def test_replayed_stream_builds_the_book(spark, tmp_path):
         q.stop()
     got = spark.read.parquet(f"{tmp_path}/out").orderBy(F.col("seq").desc()).first()
     assert (got["best_bid"], got["bid_qty"], got["best_ask"]) == (want["best_bid"], want["bid_qty"], want["best_ask"])
+
+
+def test_files_of_one_name_keep_their_own_headers(spark, tmp_path):
+    import gzip
+
+    for folder, header, row in (("a", "spot_datetime;x;y", "2024-01-01 00:00:00;1;2"), ("b", "spot_datetime;y;x", "2024-01-01 00:00:15;3;4")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0.csv").write_text(f"{header}\n{row}\n")
+        with gzip.open(tmp_path / folder / "part-1.csv.gz", "wt") as f:
+            f.write(f"{header}\n{row.replace('00:00:', '01:00:')}\n")
+    (tmp_path / "a" / "empty.csv").write_text("")
+    from barloom.sources import files
+
+    got = files.read_bars(spark, files.find_files(spark, str(tmp_path), recursive=True)).orderBy("spot_datetime").collect()
+    assert [(r["x"], r["y"]) for r in got] == [("1", "2"), ("4", "3"), ("1", "2"), ("4", "3")]
