@@ -81,3 +81,9 @@ def to_next(ts: str | Column, every: int) -> Column:
 def bucket(ts: str | Column, width: int) -> Column:
     """Start of the tumbling window of epoch seconds."""
     return (F.floor(col(ts) / F.lit(width)) * width).cast("long")
+
+
+def hashed(*parts: Column | str) -> Column:
+    """A number in [0, 1) from the MD5 of the parts, alike in any engine."""
+    text = F.concat_ws("-", *[col(x).cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed
 from ..functions.windows import first_touch, islands, last_known, running
 
 BPS = 10_000.0
@@ -198,39 +201,44 @@ def cross_signal(rows: DataFrame, fast: str, slow: str, warm: int, ts: str, hole
     return marked.withColumn("signal", F.when(age > warm, F.signum(F.col(fast) - F.col(slow)).cast("int"))).drop("_run")
 
 
-def overlay(rows: DataFrame, keys: tuple[str, ...], ts: str, base: str, score: str, step: int, k: float, resume: float, cooldown: int, persist: int) -> DataFrame:
-    """Holds the base position unless the score is against it.
+def overlay(rows: DataFrame, keys: tuple[str, ...], ts: str, base: str, score: str, price: str, step: int, k: float, resume: float, cooldown: int, persist: int, long_only: bool = True, veto: bool = True) -> DataFrame:
+    """Holds the base position unless the score is against it; adds position and the turnover of either cause.
 
-    Leaves after ``persist`` bars in a row whose score against the position is k or more; comes back
-    after ``cooldown`` bars once it is below resume * k; a gap in time flattens and forgets. Adds position.
+    The score is against a direction at -k or beyond. ``persist`` such bars in a row end a position and bar its direction; so
+    does one where a position would open (veto). A barred direction opens again once ``cooldown`` bars are over and the
+    score is above -k * resume, and is free as soon as the base asks for another. A bar that the next one doesn't follow
+    at ``step`` seconds is left flat, and what was barred stays so. turn_base and turn_overlay are in units of the price.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, against, rest, away, last, before = [], 0, 0, False, None, 0
-        for t, b, s in zip(pdf[ts], pdf[base], pdf[score], strict=True):
-            if last is not None and t - last != step:
-                against, rest, away, before = 0, 0, False, 0
-                b_now = 0
-            else:
-                b_now = 0 if pd.isna(b) else int(b)
-            if b_now != before:
-                against, rest, away = 0, 0, False
-            pressure = 0.0 if pd.isna(s) else -s * b_now
-            if b_now and not away:
-                against = against + 1 if pressure >= k else 0
-                if against >= persist:
-                    away, rest, against = True, cooldown, 0
-            elif away:
-                rest -= 1
-                if rest <= 0 and pressure < resume * k:
-                    away = False
-            out.append(0 if away else b_now)
-            last, before = t, b_now
-        return pdf.assign(position=out)
+        at, barred, rest, streak = 0, 0, 0, 0
+        follows = np.append(np.diff(pdf[ts].to_numpy()) == step, False)
+        out: list[tuple[int, float, float]] = []
+        for want, s, p, ok in zip(pdf[base], pdf[score], pdf[price], follows, strict=True):
+            want = 0 if pd.isna(want) else max(int(want), 0) if long_only else int(want)
+            pull = math.nan if pd.isna(s) else s * want
+            barred = barred if want == barred else 0
+            rest = max(rest - 1, 0)
+            against = want != 0 and pull <= -k
+            held = at != 0 and want == at
+            streak = streak + 1 if held and against else 0
+            goal, quick = want, False
+            if held and streak >= persist:
+                goal, quick, barred, rest, streak = 0, True, at, cooldown, 0
+            elif at == 0 and want != 0 and barred == want:
+                quick = rest == 0 and pull > -k * resume
+                goal, barred = (want, 0) if quick else (0, barred)
+            elif at == 0 and veto and against:
+                goal, barred = 0, want
+            goal, quick = (goal, quick) if ok else (0, False)
+            moved = abs(goal - at) * p
+            out.append((goal, 0.0 if quick else moved, moved if quick else 0.0))
+            at = goal
+        return pdf.assign(**dict(zip(("position", "turn_base", "turn_overlay"), zip(*out, strict=True), strict=True))) if out else pdf
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, ts, base, score)), "position int"])
-    return by_key_in_order(rows, keys, ts, run, schema, [ts, base, score])
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, ts, base, score, price)), "position int, turn_base double, turn_overlay double"])
+    return by_key_in_order(rows, keys, ts, run, schema, [ts, base, score, price])
 
 
 def circular_shift(rows: DataFrame, keys: list[str], ts: str, value: str, shift: int, name: str) -> DataFrame:
@@ -276,7 +284,21 @@ def even_sample(rows: DataFrame, keys: list[str], ts: str, most: int) -> DataFra
     return numbered.filter(F.col("_k") % step == 0).drop("_k", "_n")
 
 
-def weighted_sample(rows: DataFrame, weight: str, n: int, id_col: str, seed: int = 0) -> DataFrame:
-    """n rows by weight without replacement: the largest u ** (1 / weight), u from a seeded hash of the id."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    return rows.filter(F.col(weight) > 0).withColumn("_u", F.log(u) / F.col(weight)).orderBy(F.col("_u").desc(), id_col).limit(n).drop("_u")
+def weighted_sample(rows: DataFrame, weight: str, n: int, id_col: str, seed: int = 0, groups: int = 64) -> DataFrame:
+    """n draws of rows by weight with replacement, seeded by hashes: columns draw, id and weight.
+
+    Rows are dealt to groups by a hash of their id; a draw picks a group by its total, then a row of it by the running
+    weight, so no order over all rows is made.
+    """
+    group = F.floor(hashed(F.lit(seed), F.lit("g"), F.col(id_col)) * groups).cast("int")
+    live = rows.filter(F.col(weight) > 0).select(id_col, F.col(weight).alias("w"), group.alias("g"))
+    until = F.sum("w").over(Window.partitionBy("g").orderBy(id_col))
+    placed = live.withColumn("hi", until).withColumn("lo", F.col("hi") - F.col("w"))
+    totals = live.groupBy("g").agg(F.sum("w").alias("t")).withColumn("end", F.sum("t").over(Window.orderBy("g")))  # a row a group
+    whole = totals.agg(F.max("end").alias("all"))
+    draws = rows.sparkSession.range(n).select((F.col("id") + 1).alias("draw"))
+    aimed = draws.withColumn("u", hashed(F.lit(seed), F.lit("d"), F.col("draw"))).join(F.broadcast(whole)).withColumn("x", F.col("u") * F.col("all"))
+    picked = aimed.join(F.broadcast(totals), (F.col("x") >= F.col("end") - F.col("t")) & (F.col("x") < F.col("end")))
+    within = picked.select("draw", "g", (F.col("x") - (F.col("end") - F.col("t"))).alias("y"))
+    met = within.join(placed, "g").filter("y >= lo and y < hi")
+    return met.select("draw", id_col, F.col("w").alias(weight))

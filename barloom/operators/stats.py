@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed
 from ..functions.windows import tie_rank
 
 
@@ -132,7 +133,7 @@ def day_bootstrap(rows: DataFrame, value: str, day: str, draws: int = 2000, seed
     numbered = by.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(day)) - 1)  # a row per day
     total = numbered.agg(F.count("*").alias("days"), (F.sum("s") / F.sum("c")).alias("mean"))
     picks = total.select("days", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("days", "draw", F.explode(F.expr("sequence(1, int(greatest(days, 1)))")).alias("slot"))
-    picked = picks.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.greatest("days", F.lit(1))).cast("int").alias("k"))
+    picked = picks.select("draw", F.floor(hashed(F.lit(seed), F.col("draw"), F.col("slot")) * F.col("days")).cast("int").alias("k"))
     means = picked.join(numbered, "k").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("m"))
     return means.agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high")).crossJoin(total)
 

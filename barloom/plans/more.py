@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.windows import along
@@ -11,7 +13,7 @@ from ..operators import simulation as X
 from ..operators import stats as T
 from .features import LABELLED, labelled
 from .shared import DAILY, SCORED, WEEK, daily, rounded, scored
-from .simulations import DELTA, H, MAKER, MAKERSQL, PNL, SL, TAKER, TP, exits, orders, results, sided
+from .simulations import DELTA, H, MAKER, MAKERSQL, PNL, SIDED, SL, TAKER, TP, TPSL, exits, maker_sql, orders, results, sided
 
 QUERIES, ORACLE = {}, {}
 
@@ -73,18 +75,27 @@ def equity_metrics(spark, sf_dir):
     return rounded(X.equity_metrics(results(spark, sf_dir), "pnl", ["stream"], "bar", 100_000.0, 252.0), 4)
 
 
-@query()
+# the CTEs of both rules side by side: those of the taker's bear doubled names
+TAKERSQL = re.sub(r"FROM (k|e|x)\b", r"FROM \1\1", re.sub(r"\b(k|e|x) AS \(", r"\1\1 AS (", TPSL[len(SIDED) :]))
+
+
+@query(f"""WITH {MAKERSQL}{TAKERSQL}, r AS (SELECT m.stream, CASE WHEN t.imb * m.side > 0 THEN 'taker' ELSE 'maker' END AS route, CASE WHEN t.imb * m.side > 0 THEN t.net_bps ELSE m.net_bps END AS net FROM maker m JOIN tpsl t USING (stream, bar))
+SELECT stream, route, count(net) AS n, round(avg(net), 4) AS mean_net FROM r GROUP BY stream, route""")
 def sim_hybrid_routing(spark, sf_dir):
     """Taker where the bar's own imbalance agrees with the side, else maker."""
     got = X.routed(orders(spark, sf_dir), exits(spark, sf_dir), ["stream", "bar"], "imb")
     return rounded(got.groupBy("stream", "route").agg(F.count("net_bps").alias("n"), F.avg("net_bps").alias("mean_net")), 4)
 
 
-@query()
+ENTRIES = ((1, 0, DELTA), (3, 0, DELTA), (3, 1, DELTA), (3, 0, 2 * DELTA))
+ENTRYSQL = " UNION ALL ".join(f'SELECT {wait} AS "wait", {delay} AS delay, CAST({delta} AS DOUBLE) AS delta, CAST(filled AS INT) AS filled, net_bps FROM (WITH {maker_sql(wait, delay, delta)} SELECT filled, net_bps FROM maker)' for wait, delay, delta in ENTRIES)
+
+
+@query(f'SELECT "wait", delay, round(delta, 4) AS delta, count(filled) AS n, round(avg(filled), 4) AS fill_rate, round(avg(net_bps), 4) AS mean_net FROM ({ENTRYSQL}) GROUP BY "wait", delay, delta')
 def sim_entry_grid(spark, sf_dir):
     """Fill rate and result by waiting time, delay and distance of the resting order."""
     parts = None
-    for wait, delay, delta in ((1, 0, DELTA), (3, 0, DELTA), (3, 1, DELTA), (3, 0, 2 * DELTA)):
+    for wait, delay, delta in ENTRIES:
         one = X.maker_fill(sided(spark, sf_dir), "close", F.col("side"), H, wait, delay, delta, TP, SL, MAKER, TAKER, along("stream", by="bar")).filter("side is not null")
         one = one.select(F.lit(wait).alias("wait"), F.lit(delay).alias("delay"), F.lit(delta).alias("delta"), "filled", "net_bps")
         parts = one if parts is None else parts.unionByName(one)
@@ -114,7 +125,10 @@ def summary_verdict(spark, sf_dir):
     return rounded(got.withColumn("verdict", verdict), 4)
 
 
-@query()
+@query(f"""WITH {PNL}, v AS (SELECT stream || '-' || bar AS key, abs(pnl) AS w FROM pnl WHERE abs(pnl) > 0), u AS (SELECT *, CAST(floor(('0x' || substr(md5('0-g-' || key), 1, 8))::BIGINT / 4294967296.0 * 64) AS INT) AS g FROM v),
+p AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY key) AS hi FROM u), t0 AS (SELECT g, sum(w) AS t FROM u GROUP BY g), t AS (SELECT *, sum(t) OVER (ORDER BY g) AS "end" FROM t0),
+d AS (SELECT draw, ('0x' || substr(md5('0-d-' || draw), 1, 8))::BIGINT / 4294967296.0 * (SELECT max("end") FROM t) AS x FROM range(1, 201) r(draw))
+SELECT CAST(draw AS BIGINT) AS draw, key, round(w, 4) AS w FROM d JOIN t ON x >= "end" - t AND x < "end" JOIN p ON p.g = t.g AND x - ("end" - t) >= hi - w AND x - ("end" - t) < hi""")
 def weighted_sample(spark, sf_dir):
     rows = results(spark, sf_dir).withColumn("key", F.concat_ws("-", "stream", "bar")).withColumn("w", F.abs("pnl"))
     return rounded(X.weighted_sample(rows.select("key", "w"), "w", 200, "key"), 4)

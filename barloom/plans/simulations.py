@@ -65,9 +65,13 @@ def sim_tp_sl(spark, sf_dir):
 
 
 WAIT, DELAY, DELTA = 3, 0, 0.01
-MAKERSQL = f"""{SIDED}, l AS (SELECT *, close * (1 - side * {DELTA}) AS lim FROM sided),
-f AS (SELECT *, {first(WAIT, 'side * ($x / lim - 1) <= 0')} AS kf FROM l {W}),
-g AS (SELECT *, CASE WHEN kf <= {WAIT} THEN kf END AS k_fill FROM f),
+def maker_sql(wait: int, delay: int, delta: float) -> str:
+    """CTEs up to ``maker``: orders that rest ``delta`` better than the trigger's close."""
+    last = min(delay + wait, H)
+    touch = ", ".join(f"CASE WHEN side * ((lead(close, {j}) OVER w) / lim - 1) <= 0 THEN {j} END" for j in range(delay + 1, last + 1))
+    touch = f"least({touch})" if last - delay > 1 else touch
+    return f"""{SIDED}, l AS (SELECT *, close * (1 - side * {delta}) AS lim FROM sided),
+g AS (SELECT *, {touch} AS k_fill FROM l {W}),
 t AS (SELECT *, coalesce(least({', '.join(f'CASE WHEN {j} > k_fill AND side * ((lead(close, {j}) OVER w) / lim - 1) >= {TP} THEN {j} END' for j in range(1, H + 1))}), {H + 1}) AS k_tp,
   coalesce(least({', '.join(f'CASE WHEN {j} >= k_fill AND side * ((lead(close, {j}) OVER w) / lim - 1) <= -{SL} THEN {j} END' for j in range(1, H + 1))}), {H + 1}) AS k_sl FROM g {W}),
 e AS (SELECT *, CASE WHEN k_fill IS NULL THEN 'unfilled' WHEN k_sl <= k_tp AND k_sl <= {H} THEN 'sl' WHEN k_tp <= {H} THEN 'tp' ELSE 'time' END AS exit_reason, CASE WHEN k_fill IS NOT NULL THEN least(k_tp, k_sl, {H}) END AS exit_k FROM t),
@@ -75,6 +79,9 @@ x AS (SELECT *, {AHEAD('exit_k')} AS px, lead(close, {H}) OVER w AS pend FROM e
 maker AS (SELECT *, CASE WHEN pend IS NOT NULL THEN k_fill IS NOT NULL END AS filled, CASE WHEN pend IS NOT NULL AND k_fill IS NOT NULL THEN CASE WHEN exit_reason = 'tp' THEN {TP} * 10000 - 4 ELSE side * (px / lim - 1) * 10000 - 7 END END AS net_bps FROM x WHERE side IS NOT NULL)"""
 
 
+MAKERSQL = maker_sql(WAIT, DELAY, DELTA)
+
+
 def orders(spark, sf_dir):
     return X.maker_fill(sided(spark, sf_dir), "close", F.col("side"), H, WAIT, DELAY, DELTA, TP, SL, MAKER, TAKER, by_bar()).filter("side is not null")
 
@@ -259,24 +266,62 @@ def position_episodes(spark, sf_dir):
     return rounded(X.episodes(positions(spark, sf_dir), "position", "pnl_bps", ("stream",), "bar"), 4)
 
 
-@query()
+def walked(before: str, source: str) -> str:
+    """Greedy trades by a recursive walk: source has stream, bar, until and net_bps of the triggers."""
+    return f"""WITH RECURSIVE {before}, triggers AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY bar) AS rn FROM ({source})),
+walk AS (SELECT stream, rn, bar, until, net_bps, true AS took, until AS busy FROM triggers WHERE rn = 1
+  UNION ALL SELECT t.stream, t.rn, t.bar, t.until, t.net_bps, t.bar >= k.busy, CASE WHEN t.bar >= k.busy THEN t.until ELSE k.busy END FROM walk k JOIN triggers t ON t.stream = k.stream AND t.rn = k.rn + 1)
+SELECT stream, bar, until, round(net_bps, 4) AS net_bps FROM walk WHERE took"""
+
+
+@query(walked(TPSL, f"SELECT stream, bar, bar + exit_k * {DAY} AS until, net_bps FROM tpsl WHERE net_bps IS NOT NULL"))
 def sim_non_overlap(spark, sf_dir):
     reachable(spark)
     rows = exits(spark, sf_dir).filter("net_bps is not null").withColumn("until", F.col("bar") + F.col("exit_k") * DAY)
     return rounded(X.non_overlapping(rows, ("stream",), "bar", "until", "net_bps"), 4)
 
 
-@query()
-def feat_ema_cross(spark, sf_dir):
+@query(walked(MAKERSQL, f"SELECT stream, bar, bar + coalesce(exit_k, {min(DELAY + WAIT, H)}) * {DAY} AS until, net_bps FROM maker WHERE filled IS NOT NULL"))
+def sim_non_overlap_maker(spark, sf_dir):
+    """A resting order blocks until its trade ends or, unfilled, until it is withdrawn; unfilled ones have no result."""
     reachable(spark)
-    means = X.ewm(scored(spark, sf_dir), ("stream",), "bar", "close", {"fast": 12, "slow": 48})
-    return rounded(X.cross_signal(means, "fast", "slow", 48, "bar", 5 * DAY, ("stream",)).select("stream", "bar", "fast", "slow", "signal"), 4)
+    rows = orders(spark, sf_dir).filter("filled is not null").withColumn("until", F.col("bar") + F.coalesce("exit_k", F.lit(min(DELAY + WAIT, H))) * DAY)
+    return rounded(X.non_overlapping(rows, ("stream",), "bar", "until", "net_bps"), 4)
 
 
-@query()
-def sim_overlay_machine(spark, sf_dir):
+CROSS = f"""{SCORED}, n AS MATERIALIZED (SELECT stream, bar, close, score, row_number() OVER (PARTITION BY stream ORDER BY bar) AS rn, coalesce(bar - lag(bar) OVER (PARTITION BY stream ORDER BY bar) > {5 * DAY}, true) AS broke FROM scored),
+ema AS (SELECT stream, rn, close AS fast, close AS slow FROM n WHERE rn = 1
+  UNION ALL SELECT n.stream, n.rn, e.fast + 2.0 / 13 * (n.close - e.fast), e.slow + 2.0 / 49 * (n.close - e.slow) FROM ema e JOIN n ON n.stream = e.stream AND n.rn = e.rn + 1),
+runs AS (SELECT *, sum(CAST(broke AS INT)) OVER (PARTITION BY stream ORDER BY bar) AS run FROM n),
+crossed AS (SELECT r.stream, r.bar, r.rn, r.score, r.close, fast, slow, CASE WHEN row_number() OVER (PARTITION BY r.stream, run ORDER BY r.bar) > 48 THEN CAST(sign(fast - slow) AS INT) END AS signal FROM runs r JOIN ema USING (stream, rn))"""
+
+
+def crossed(spark, sf_dir):
     reachable(spark)
     means = X.ewm(scored(spark, sf_dir), ("stream",), "bar", "close", {"fast": 12, "slow": 48})
-    base = X.cross_signal(means, "fast", "slow", 48, "bar", 5 * DAY, ("stream",)).select("stream", "bar", "signal")
-    rows = base.join(scored(spark, sf_dir).select("stream", "bar", "score"), ["stream", "bar"])
-    return rounded(X.overlay(rows, ("stream",), "bar", "signal", "score", DAY, 0.4, 0.5, 4, 2))
+    return X.cross_signal(means, "fast", "slow", 48, "bar", 5 * DAY, ("stream",)).select("stream", "bar", "close", "fast", "slow", "signal")
+
+
+@query(f"WITH RECURSIVE {CROSS} SELECT stream, bar, round(fast, 4) AS fast, round(slow, 4) AS slow, signal FROM crossed")
+def feat_ema_cross(spark, sf_dir):
+    return rounded(crossed(spark, sf_dir).drop("close"), 4)
+
+
+K, RESUME, COOLDOWN, PERSIST = 0.25, 0.5, 4, 2
+
+
+@query(f"""WITH RECURSIVE {CROSS}, o AS MATERIALIZED (SELECT stream, bar, rn, close, score, greatest(coalesce(signal, 0), 0) AS d, coalesce(lead(bar) OVER (PARTITION BY stream ORDER BY bar) - bar = {DAY}, false) AS ok FROM crossed),
+m AS (SELECT stream, CAST(0 AS BIGINT) AS rn, 0 AS p, 0 AS barred, 0 AS rest, 0 AS streak, CAST(0 AS DOUBLE) AS turn_base, CAST(0 AS DOUBLE) AS turn_overlay FROM o WHERE rn = 1
+  UNION ALL SELECT stream, rn, goal, barred, rest, streak, CASE WHEN quick THEN 0 ELSE abs(goal - p) * close END, CASE WHEN quick THEN abs(goal - p) * close ELSE 0 END FROM (
+    SELECT stream, rn, p, close, CASE WHEN ok AND NOT leaves AND NOT vetoed AND NOT (again AND NOT back) THEN d ELSE 0 END AS goal, ok AND (leaves OR back) AS quick,
+      CASE WHEN leaves THEN p WHEN back THEN 0 WHEN vetoed THEN d ELSE b0 END AS barred, CASE WHEN leaves THEN {COOLDOWN} ELSE r0 END AS rest, CASE WHEN leaves THEN 0 ELSE st END AS streak FROM (
+      SELECT *, held AND st >= {PERSIST} AS leaves, again AND r0 = 0 AND coalesce(score * d > {-K * RESUME}, false) AS back, p = 0 AND d <> 0 AND b0 <> d AND against AS vetoed FROM (
+        SELECT *, CASE WHEN held AND against THEN streak + 1 ELSE 0 END AS st, p = 0 AND d <> 0 AND b0 = d AS again FROM (
+          SELECT o.*, m.p, m.streak, CASE WHEN m.barred = o.d THEN m.barred ELSE 0 END AS b0, greatest(m.rest - 1, 0) AS r0, o.d <> 0 AND coalesce(o.score * o.d <= {-K}, false) AS against, m.p <> 0 AND o.d = m.p AS held FROM m JOIN o ON o.stream = m.stream AND o.rn = m.rn + 1)))))
+SELECT stream, bar, d AS base, m.p AS position, round(turn_base, 4) AS turn_base, round(turn_overlay, 4) AS turn_overlay, round(turn_base * 0.0002 + turn_overlay * 0.0005, 6) AS fees FROM m JOIN o USING (stream, rn)""")
+def sim_overlay_machine(spark, sf_dir):
+    """Position and turnover of either cause; base moves pay the maker's fee, the overlay's the taker's."""
+    rows = crossed(spark, sf_dir).drop("fast", "slow").join(scored(spark, sf_dir).select("stream", "bar", "score"), ["stream", "bar"])
+    got = X.overlay(rows, ("stream",), "bar", "signal", "score", "close", DAY, K, RESUME, COOLDOWN, PERSIST)
+    fees = F.round(F.col("turn_base") * 0.0002 + F.col("turn_overlay") * 0.0005, 6).alias("fees")
+    return got.select("stream", "bar", F.greatest(F.coalesce("signal", F.lit(0)), F.lit(0)).alias("base"), "position", F.round("turn_base", 4).alias("turn_base"), F.round("turn_overlay", 4).alias("turn_overlay"), fees)

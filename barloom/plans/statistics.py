@@ -156,12 +156,15 @@ def top_moves(spark, sf_dir):
     return rounded(scored(spark, sf_dir).withColumn("place", place).filter("place <= 10").select("stream", "period", "place", "ret"))
 
 
-@query()
+@query(f"""WITH {SCORED}, d AS (SELECT period, sum(ret) AS s, count(ret) AS c, row_number() OVER (ORDER BY period) - 1 AS k FROM scored WHERE ret IS NOT NULL GROUP BY period), t AS (SELECT count(*) AS days, sum(s) / sum(c) AS mean FROM d),
+p AS (SELECT draw, CAST(floor(('0x' || substr(md5('0-' || draw || '-' || slot), 1, 8))::BIGINT / 4294967296.0 * days) AS INT) AS k FROM t, range(1, 501) a(draw), (SELECT unnest(range(1, days + 1)) AS slot FROM t) b), m AS (SELECT draw, sum(s) / sum(c) AS m FROM p JOIN d USING (k) GROUP BY draw)
+SELECT round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, any_value(days) AS days, round(any_value(mean), 6) AS mean FROM m, t""")
 def bootstrap_day_cluster(spark, sf_dir):
     return rounded(T.day_bootstrap(scored(spark, sf_dir), "ret", "period", draws=500))
 
 
-@query()
+@query(f"""WITH {UP}, c AS (SELECT stream, CAST(sum(CAST((score > 0) = (fwd > 0) AS INT)) AS BIGINT) AS hits, count(*) AS n FROM u GROUP BY stream)
+SELECT stream, hits, n, round(least(1.0, list_sum(list_transform(range(hits, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + n * ln(0.5))))), 6) AS p_value FROM c""")
 def binomial_test(spark, sf_dir):
     rows = ups(spark, sf_dir).withColumn("hit", ((F.col("score") > 0) == (F.col("fwd") > 0)).cast("int"))
     counts = rows.groupBy("stream").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
