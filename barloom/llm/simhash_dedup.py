@@ -219,21 +219,19 @@ def links(marks: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component; edges: (a, b), materialised.
 
-    Each round hooks a node and its label to the least label next to them, then follows labels once;
-    rounds grow with the logarithm of a component's width. Minima are combined before each shuffle.
+    Each round every node goes to the least node next to it, and on to where that one goes; then links are renamed, and
+    those inside a node or told twice are dropped. So links shrink from round to round, and rounds grow with the logarithm of
+    a component's width. Minima are combined before each shuffle.
     """
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").dropDuplicates())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        own, other = labels.alias("o"), labels.alias("p")
-        seen = both.join(own, F.col("a") == F.col("o.node")).join(other, F.col("b") == F.col("p.node")).select("a", F.col("o.label").alias("la"), F.col("p.label").alias("lb")).filter("lb < la")
-        hooks = seen.select(F.explode(F.array("a", "la")).alias("node"), F.col("lb").alias("label"))
-        least = cut(labels.unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")))
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = cut(least.join(up, "label").select("node", F.col("up").alias("label")))
-        if new.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was").isEmpty():
-            return new
-        labels = new
+    links = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").dropDuplicates())
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("label"))
+    while not links.isEmpty():
+        least = cut(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        goes = cut(least.join(least.select(F.col("a").alias("to"), F.col("to").alias("on")), "to").select("a", "on"))
+        labels = cut(labels.join(goes, labels["label"] == goes["a"], "left").select("node", F.coalesce("on", "label").alias("label")))
+        renamed = links.join(goes, "a").select(F.col("on").alias("x"), "b").join(goes.select(F.col("a").alias("b"), F.col("on").alias("y")), "b")
+        links = cut(renamed.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).dropDuplicates())
+    return labels
 
 
 def node(rule: Rule, fp: str = "fp", near: str = "near") -> Column:
