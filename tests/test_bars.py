@@ -164,10 +164,13 @@ def test_ties_share_their_rank_and_degenerate_classes_give_null(spark):
 
 
 def test_overlay_leaves_and_comes_back(spark):
-    score = [0, 0, -1, -1, -1, 0, 0, 0]
-    df = spark.createDataFrame([("a", 5 * k, 1, float(s)) for k, s in enumerate(score)], "stream string, ts long, base int, score double")
-    got = rows(X.overlay(df, ("stream",), "ts", "base", "score", 5, 0.5, 0.5, 2, 2), "ts")
-    assert [r["position"] for r in got] == [1, 1, 1, 0, 0, 1, 1, 1]
+    score = [0, 0, -1, -1, -1, 0, 0, 0, 0, -1, 0, 0]
+    base = [1, 1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1]  # asked again under a bad score: vetoed, then back
+    df = spark.createDataFrame([("a", 5 * k, b, float(s), 10.0) for k, (s, b) in enumerate(zip(score, base, strict=True))], "stream string, ts long, base int, score double, price double")
+    got = rows(X.overlay(df, ("stream",), "ts", "base", "score", "price", 5, 0.5, 0.5, 2, 2), "ts")
+    assert [r["position"] for r in got] == [1, 1, 1, 0, 0, 1, 1, 1, 0, 0, 1, 0]
+    assert [r["turn_overlay"] for r in got] == [0, 0, 0, 10, 0, 10, 0, 0, 0, 0, 10, 0]
+    assert [r["turn_base"] for r in got] == [10, 0, 0, 0, 0, 0, 0, 0, 10, 0, 0, 10]
 
 
 def test_non_overlapping_is_greedy(spark):
