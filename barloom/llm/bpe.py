@@ -31,7 +31,7 @@ from .common import map_batches, state
 #: Letters and signs for which normalising is lower-casing: printable ASCII and Latin-1 letters.
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: Words remembered, as many from before, and a quarter as many fragments.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 INFINITE = 1 << 60
 
 
@@ -170,9 +170,15 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as int32 bytes, decoded text): the file has no decoder, so tokens are joined by a space."""
-        known, word = self.known, self.word
-        found = [known.get(w) or word(w) for w in text.encode().split()]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+        words = text.encode().split()
+        if not words:
+            return b"", ""
+        found = list(map(self.known.get, words))
+        if None in found:
+            word = self.word
+            found = [f or word(w) for f, w in zip(found, words, strict=True)]
+        ids, tokens = zip(*found, strict=True)
+        return b"".join(ids), " ".join(tokens if "" not in tokens else filter(None, tokens))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], path: str, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
