@@ -30,8 +30,8 @@ from .common import map_batches, state
 
 #: Letters and signs for which normalising is lower-casing: printable ASCII and Latin-1 letters.
 PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Words remembered, as many from before, and a quarter as many fragments.
-REMEMBERED = 250_000
+#: Words remembered, as many from before, and a quarter as many fragments; some 300 bytes each.
+REMEMBERED = 400_000
 INFINITE = 1 << 60
 
 
