@@ -147,12 +147,14 @@ def runs(rows: DataFrame, width: int, order: str = "seq", keys: tuple[str, ...]
 
 
 def wall_stats(rows: DataFrame, width: int, qty: str, dist: str, keys: tuple[str, ...]) -> DataFrame:
-    """Median and largest wall and median distance over samples with a wall; 0, 0 and -1 without any."""
+    """Median and largest wall, median distance, count and sum over samples with a wall; medians and maximum are 0, 0 and -1 without any."""
     there = F.col(dist) >= 0
     return with_bar(rows, width).groupBy(*keys, "bar").agg(
         F.coalesce(F.percentile(F.when(there, F.col(qty)), F.lit(0.5)), F.lit(0.0)).alias("wall_median"),
         F.coalesce(F.max(F.when(there, F.col(qty))), F.lit(0.0)).alias("wall_max"),
         F.coalesce(F.percentile(F.when(there, F.col(dist)), F.lit(0.5)), F.lit(-1.0)).alias("wall_dist"),
+        F.count(F.when(there, F.col(qty))).alias("wall_count"),
+        F.coalesce(F.sum(F.when(there, F.col(qty))), F.lit(0.0)).alias("wall_sum"),
     )
 
 
@@ -181,3 +183,8 @@ def paired(left: DataFrame, right: DataFrame, names: tuple[str, str], on: str =
 def unpaired(left: DataFrame, right: DataFrame, on: str = "bar") -> DataFrame:
     """Bars of the left market that the right one lacks."""
     return left.join(right.select(on).distinct(), on, "left_anti")
+
+
+def with_optional(pair: DataFrame, optional: DataFrame, on: str = "bar", missing: float = -1.0) -> DataFrame:
+    """Paired bars with an optional stream's columns, ``missing`` where it has no bar or no value."""
+    return pair.join(optional, on, "left").na.fill(missing, [c for c in optional.columns if c != on])

@@ -95,6 +95,18 @@ def add_cancel(changes: DataFrame, keys: tuple[str, ...], mid: str, near_pct: fl
     return rows.groupBy(*keys).agg(*out)
 
 
+def with_previous_mid(changes: DataFrame, mids: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Changes with mid, the last one of their book from before their message; null before the first, so that no band holds them.
+
+    mids: keys, seq, mid. Union and last-known value over one sort, no join.
+    """
+    a = changes.withColumn("mid", F.lit(None).cast("double")).withColumn("_change", F.lit(1))
+    b = mids.select(*keys, "seq", F.col("mid").cast("double").alias("mid")).withColumn("_change", F.lit(0))
+    before = Window.partitionBy(*keys).orderBy("seq", F.col("_change").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = a.unionByName(b, allowMissingColumns=True).withColumn("mid", F.last("mid", True).over(before))
+    return known.filter("_change = 1").drop("_change")
+
+
 def sequence_audit(diffs: DataFrame, keys: tuple[str, ...], order: str, first: str, last: str) -> DataFrame:
     """Each diff as start, ok, stale or gap against the last id seen so far, and the ids missed."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -48,8 +48,8 @@ def recent(rows: DataFrame, ts: str, days: int) -> DataFrame:
 
 def era(rows: DataFrame, ts: str, marker: str, least_days: float = 0) -> DataFrame:
     """Rows from the first that has the marker; an error if they span fewer days."""
-    found = rows.filter(F.col(marker).isNotNull()).agg(F.min(ts).alias("start")).first()["start"]
-    out = rows.filter(F.col(ts) >= F.lit(found)) if found is not None else rows.limit(0)
+    start = rows.filter(F.col(marker).isNotNull()).agg(F.min(ts).alias("_start"))
+    out = rows.crossJoin(F.broadcast(start)).filter(F.col(ts) >= F.col("_start")).drop("_start")  # one row
     if least_days:
         ends = out.agg(F.min(ts).alias("a"), F.max(ts).alias("z")).first()
         if ends["a"] is None or ends["z"] - ends["a"] < least_days * 86_400:
@@ -58,9 +58,27 @@ def era(rows: DataFrame, ts: str, marker: str, least_days: float = 0) -> DataFra
 
 
 def without_nulls(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value in each of the columns; ``null_losses`` tells what that costs."""
     return rows.na.drop(subset=columns)
 
 
+def null_losses(rows: DataFrame, columns: list[str], most: float = 0.05) -> DataFrame:
+    """One row per column: its share of nulls, its place among the worst, the share of rows that ``without_nulls`` drops, and whether that is above ``most``; one pass. Without rows every share of nulls is 1 and nothing is lost."""
+    some = F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0))
+    got = rows.agg(F.count("*").alias("n"), F.sum(some).alias("_lost"), *[F.count(c).alias(c) for c in columns])
+    n = F.greatest("n", F.lit(1))
+    items = F.array(*[F.struct(F.lit(c).alias("column"), (1 - F.col(c) / n).alias("null_share")) for c in columns])
+    each = got.select("n", (F.coalesce("_lost", F.lit(0)) / n).alias("lost_share"), F.explode(items).alias("x")).select("x.*", "lost_share")
+    worst = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("null_share").desc(), "column"))  # a row per column
+    return each.withColumn("worst", worst).withColumn("warn", F.col("lost_share") > most)
+
+
+def with_close(rows: DataFrame, closes: tuple[str, str] = ("bid_close", "ask_close"), medians: tuple[str, str] = ("bid_median", "ask_median")) -> DataFrame:
+    """Adds close, the mean of both sides' closes, or of their medians where the schema lacks the closes."""
+    a, b = closes if set(closes) <= set(rows.columns) else medians
+    return rows.withColumn("close", (F.col(a) + F.col(b)) / 2)
+
+
 def schema_mix(rows: DataFrame, version: str = "schema_version") -> DataFrame:
     """Rows and share of each schema version."""
     total = rows.agg(F.count("*").alias("total"))

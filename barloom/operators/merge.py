@@ -126,13 +126,14 @@ def stitched_runs(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream"
 
 
 def halves(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",)) -> DataFrame:
-    """Early and late volume by side after a merge: halves are cut at half of the merged trades, in proportion.
+    """Early and late counts and volumes by side after a merge: halves are cut at half of the merged trades, in proportion.
 
     A lone trade is late here.
     """
+    parts = ("buy_count", "buy_qty", "sell_count", "sell_qty")
     wide = widened(bars, width)
     piece = lambda h: F.struct(
-        (F.col(f"{h}_buy_count") + F.col(f"{h}_sell_count")).alias("cnt"), F.col(f"{h}_buy_qty").alias("buy"), F.col(f"{h}_sell_qty").alias("sell")
+        (F.col(f"{h}_buy_count") + F.col(f"{h}_sell_count")).alias("cnt"), *[F.col(f"{h}_{c}").alias(c) for c in parts]
     )
     rows = wide.select(*keys, "out", "bar", F.posexplode(F.array(piece("early"), piece("late"))).alias("slot", "p")).select(*keys, "out", "bar", "slot", "p.*")
     w = Window.partitionBy(*keys, "out")
@@ -141,8 +142,8 @@ def halves(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",)) ->
     take = F.least(F.col("cnt"), F.greatest(half - before, F.lit(0)))
     share = rows.withColumn("share", F.when(F.col("cnt") > 0, take / F.col("cnt")).otherwise(0.0))
     out = []
-    for s in ("buy", "sell"):
-        out += [F.sum(F.col("share") * F.col(s)).alias(f"early_{s}_qty"), F.sum((1 - F.col("share")) * F.col(s)).alias(f"late_{s}_qty")]
+    for c in parts:
+        out += [F.sum(F.col("share") * F.col(c)).alias(f"early_{c}"), F.sum((1 - F.col("share")) * F.col(c)).alias(f"late_{c}")]
     return share.groupBy(*keys, "out").agg(*out)
 
 
@@ -167,13 +168,27 @@ def sizes(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",)) -> D
     return out.na.fill(0.0)
 
 
-def optional(bars: DataFrame, width: int, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Open and close of the bars that have samples, and the median weighted by their count; -1 without any."""
+def walls(bars: DataFrame, width: int, keys: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """Largest wall, and median wall and distance weighted by the samples with a wall; 0, 0 and -1 without any."""
+    wide = widened(bars, width)
+    there = F.when(F.col("wall_count") > 0, F.col("wall_max"))
+    out = wide.groupBy(*keys, "out").agg(F.sum("wall_count").alias("wall_count"), F.sum("wall_sum").alias("wall_sum"), F.max(there).alias("wall_max"))
+    for c in ("wall_median", "wall_dist"):
+        out = out.join(weighted_median(wide, [*keys, "out"], c, "wall_count", c), [*keys, "out"], "left")
+    return out.na.fill(0.0, ["wall_max", "wall_median"]).na.fill(-1.0, ["wall_dist"])
+
+
+def optional(bars: DataFrame, width: int, name: str, keys: tuple[str, ...] = (), maxima: tuple[str, ...] = ()) -> DataFrame:
+    """Open and close of the bars that have samples, and the median weighted by their count; -1 without any.
+
+    ``maxima`` are columns of which the largest is kept.
+    """
     wide = widened(bars, width)
     there = F.when(F.col(f"{name}_count") > 0, F.col("bar"))
     ends = wide.groupBy(*keys, "out").agg(
         F.coalesce(F.min_by(F.when(F.col(f"{name}_count") > 0, F.col(f"{name}_open")), there), F.lit(-1.0)).alias(f"{name}_open"),
         F.coalesce(F.max_by(F.when(F.col(f"{name}_count") > 0, F.col(f"{name}_close")), there), F.lit(-1.0)).alias(f"{name}_close"),
+        *[F.max(c).alias(c) for c in maxima],
     )
     middle = weighted_median(wide, [*keys, "out"], f"{name}_median", f"{name}_count", f"{name}_median")
     return ends.join(middle, [*keys, "out"], "left").na.fill(-1.0, [f"{name}_median"])

@@ -152,6 +152,16 @@ def trailing_thresholds(rows: DataFrame, score: str, day: str, step: int, window
     return joined.select(*keys, F.col("_d").alias(day), "n_near", F.when(F.col("n_near") >= least, F.col("_near")).otherwise(F.col("_all")).alias("threshold"))
 
 
+def frozen_trigger(rows: DataFrame, part: str, score: str, rate: float, keys: list[str], low: bool = False) -> DataFrame:
+    """Test rows in the score's tail, whose bound is a quantile of the validation rows alone.
+
+    The upper tail starts at the (1 - rate) quantile; ``low`` takes the lower tail up to the rate quantile.
+    """
+    edge = rows.filter(F.col(part) == "val").groupBy(*keys).agg(F.percentile(score, F.lit(rate if low else 1 - rate)).alias("threshold"))
+    hit = F.col(score) <= F.col("threshold") if low else F.col(score) >= F.col("threshold")
+    return rows.filter(F.col(part) == "test").join(edge, keys).filter(hit)
+
+
 def by_key_in_order(rows: DataFrame, keys: tuple[str, ...], order: str, step, schema: str, columns: list[str]) -> DataFrame:
     """Runs step(frame of one key in order) -> frame for each key; for rules that can't be unrolled."""
 

@@ -84,10 +84,15 @@ def book_ofi(spark, sf_dir):
     return rounded(flow.groupBy("stream", "bar").agg(F.sum("ofi").alias("ofi"), *[F.sum(c).alias(c) for c in ("bid_moved", "ask_moved", "bid_depleted", "ask_depleted")]))
 
 
-@query(f"""WITH {CHANGES}, d AS (SELECT *, qty - coalesce(lag(qty) OVER (PARTITION BY book, side, price ORDER BY seq), 0) AS d, abs(price - 1000.25) / 1000.25 * 100 AS p FROM changes)
+@query(f"""WITH {CHANGES}, u AS (SELECT *, NULL::DOUBLE AS mid, 1 AS c FROM changes UNION ALL SELECT user_id % 5, NULL, NULL, NULL, event_id, 1000 + (event_id % 11) / 8.0, 0 FROM events WHERE event_type = 'click'),
+m AS (SELECT * EXCLUDE (mid), last_value(mid IGNORE NULLS) OVER (PARTITION BY book ORDER BY seq, c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mid FROM u),
+d AS (SELECT *, qty - coalesce(lag(qty) OVER (PARTITION BY book, side, price ORDER BY seq), 0) AS d, abs(price - mid) / mid * 100 AS p FROM m WHERE c = 1)
 SELECT book, {', '.join(f"round(coalesce(sum({'d' if a == 'add' else '-d'}) FILTER (side = '{s}' AND p <= {pct} AND d {'>' if a == 'add' else '<'} 0), 0), 6) AS {a}_{s}_{b}" for b, pct in (('near', 2.0), ('wide', 10.0)) for s in ('bid', 'ask') for a in ('add', 'cancel'))} FROM d GROUP BY book""")
 def book_add_cancel_flow(spark, sf_dir):
-    return rounded(K.add_cancel(changes(spark, sf_dir).withColumn("mid", F.lit(1000.25)), ("book",), "mid", 2.0, 10.0))
+    """Clicks quote the mid; each change is judged by the mid before it."""
+    m = messages(spark, sf_dir).filter("kind = 'click'")
+    mids = m.select((F.col("key") % 5).alias("book"), "seq", (1000 + (F.col("seq") % 11) / 8).alias("mid"))
+    return rounded(K.add_cancel(K.with_previous_mid(changes(spark, sf_dir), mids, ("book",)), ("book",), "mid", 2.0, 10.0))
 
 
 DIFFS = "diffs AS (SELECT user_id % 5 AS book, event_id AS seq, event_id // 3 AS first, event_id // 3 + event_id % 4 AS last FROM events)"

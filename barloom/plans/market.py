@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..sources.tables import DAY, messages, second_market, tape
+from ..sources.tables import DAY, messages, second_market, table, tape
 from .shared import DAILY, TAPE, rounded, rsql
 
 QUERIES, ORACLE = {}, {}
@@ -163,7 +163,16 @@ def bar_optional_stats(spark, sf_dir):
 
 @query("""WITH e AS (SELECT (epoch_us(ts) // 1000000) // 86400 * 86400 AS bar, value AS qty, CASE WHEN event_type = 'error' THEN -1.0 ELSE (event_id % 30) / 100.0 END AS dist FROM events)
 SELECT bar, round(coalesce(quantile_cont(qty, 0.5) FILTER (dist >= 0), 0), 6) AS wall_median, round(coalesce(max(qty) FILTER (dist >= 0), 0), 6) AS wall_max,
-  round(coalesce(quantile_cont(dist, 0.5) FILTER (dist >= 0), -1), 6) AS wall_dist FROM e GROUP BY bar""")
+  round(coalesce(quantile_cont(dist, 0.5) FILTER (dist >= 0), -1), 6) AS wall_dist, count(qty) FILTER (dist >= 0) AS wall_count, round(coalesce(sum(qty) FILTER (dist >= 0), 0), 6) AS wall_sum FROM e GROUP BY bar""")
 def bar_wall_stats(spark, sf_dir):
     dist = F.when(F.col("kind") == "error", -1.0).otherwise((F.col("seq") % 30) / 100.0)
     return rounded(B.wall_stats(messages(spark, sf_dir).withColumn("dist", dist), DAY, "value", "dist", ()))
+
+
+@query(f"""WITH pair AS ({ORACLE['bar_market_pairing']}), o AS (SELECT CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 86400 AS bar, max(o_totalprice) AS urgent_max, min(o_totalprice) AS urgent_min FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT pair.*, round(coalesce(urgent_max, -1), 6) AS urgent_max, round(coalesce(urgent_min, -1), 6) AS urgent_min FROM pair LEFT JOIN o USING (bar)""")
+def bar_optional_pairing(spark, sf_dir):
+    """Urgent orders are the optional stream: not every bar has one."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_totalprice").cast("double").alias("price"))
+    urgent = B.bars(orders, DAY, F.max("price").alias("urgent_max"), F.min("price").alias("urgent_min"), keys=())
+    return rounded(B.with_optional(bar_market_pairing(spark, sf_dir), urgent))

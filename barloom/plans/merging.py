@@ -96,10 +96,11 @@ def agg_run_stitch(spark, sf_dir):
 
 
 @query(f"""WITH {HALVES}, w AS (SELECT *, {OUT} FROM sequence),
-p AS (SELECT stream, out, bar, 0 AS slot, early_buy_count + early_sell_count AS cnt, early_buy_qty AS buy, early_sell_qty AS sell FROM w UNION ALL SELECT stream, out, bar, 1, late_buy_count + late_sell_count, late_buy_qty, late_sell_qty FROM w),
+p AS (SELECT stream, out, bar, 0 AS slot, early_buy_count + early_sell_count AS cnt, early_buy_qty AS buy, early_sell_qty AS sell, early_buy_count AS nb, early_sell_count AS ns FROM w UNION ALL SELECT stream, out, bar, 1, late_buy_count + late_sell_count, late_buy_qty, late_sell_qty, late_buy_count, late_sell_count FROM w),
 q AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY stream, out ORDER BY bar, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev, sum(cnt) OVER (PARTITION BY stream, out) // 2 AS half FROM p),
 s AS (SELECT *, CASE WHEN cnt > 0 THEN least(cnt, greatest(half - prev, 0)) / cnt ELSE 0.0 END AS share FROM q)
-SELECT stream, out, round(sum(share * buy), 6) AS early_buy_qty, round(sum((1 - share) * buy), 6) AS late_buy_qty, round(sum(share * sell), 6) AS early_sell_qty, round(sum((1 - share) * sell), 6) AS late_sell_qty FROM s GROUP BY stream, out""")
+SELECT stream, out, round(sum(share * buy), 6) AS early_buy_qty, round(sum((1 - share) * buy), 6) AS late_buy_qty, round(sum(share * sell), 6) AS early_sell_qty, round(sum((1 - share) * sell), 6) AS late_sell_qty,
+  round(sum(share * nb), 6) AS early_buy_count, round(sum((1 - share) * nb), 6) AS late_buy_count, round(sum(share * ns), 6) AS early_sell_count, round(sum((1 - share) * ns), 6) AS late_sell_count FROM s GROUP BY stream, out""")
 def agg_half_resplit(spark, sf_dir):
     return rounded(M.halves(B.trade_sequence(tape(spark, sf_dir), DAY), WEEK))
 
@@ -164,13 +165,14 @@ def candle_equi_join(spark, sf_dir):
 @query("""WITH e AS (SELECT (epoch_us(ts) // 1000000) // 3600 * 3600 AS bar, value AS v, event_id AS seq FROM events WHERE event_type = 'view'),
 b AS (SELECT bar, bar // 86400 * 86400 AS out, arg_min(v, seq) AS o, arg_max(v, seq) AS c, quantile_cont(v, 0.5) AS m, count(*) AS n FROM e GROUP BY bar),
 k AS (SELECT out, m, sum(n) OVER (PARTITION BY out) AS t, sum(n) OVER (PARTITION BY out ORDER BY m) AS s FROM b), mm AS (SELECT out, min(m) AS m FROM k WHERE s >= 0.5 * t GROUP BY out),
-days AS (SELECT DISTINCT (epoch_us(ts) // 1000000) // 86400 * 86400 AS out FROM events), x AS (SELECT out, arg_min(o, bar) AS o, arg_max(c, bar) AS c FROM b GROUP BY out)
-SELECT out, round(coalesce(o, -1), 6) AS view_open, round(coalesce(c, -1), 6) AS view_close, round(coalesce(mm.m, -1), 6) AS view_median FROM days LEFT JOIN x USING (out) LEFT JOIN mm USING (out)""")
+days AS (SELECT DISTINCT (epoch_us(ts) // 1000000) // 86400 * 86400 AS out FROM events), x AS (SELECT out, arg_min(o, bar) AS o, arg_max(c, bar) AS c FROM b GROUP BY out),
+h AS (SELECT (epoch_us(ts) // 1000000) // 3600 * 3600 AS bar, coalesce(max(value) FILTER (event_type = 'error'), 0) AS e FROM events GROUP BY 1), y AS (SELECT bar // 86400 * 86400 AS out, max(e) AS e FROM h GROUP BY 1)
+SELECT out, round(y.e, 6) AS error_max, round(coalesce(o, -1), 6) AS view_open, round(coalesce(c, -1), 6) AS view_close, round(coalesce(mm.m, -1), 6) AS view_median FROM days LEFT JOIN x USING (out) LEFT JOIN mm USING (out) LEFT JOIN y USING (out)""")
 def agg_optional_merge(spark, sf_dir):
     from ..sources.tables import messages
 
-    hourly = B.optional_stats(messages(spark, sf_dir), 3600, {"view": "ocm"})
-    return rounded(M.optional(hourly, DAY, "view"))
+    hourly = B.optional_stats(messages(spark, sf_dir), 3600, {"view": "ocm", "error": "max"})
+    return rounded(M.optional(hourly, DAY, "view", maxima=("error_max",)))
 
 
 @query("""WITH e AS (SELECT (epoch_us(ts) // 1000000) AS ts FROM events), g AS (SELECT ts, ts - lag(ts) OVER (ORDER BY ts) AS gap FROM e)
@@ -182,3 +184,17 @@ def gap_report(spark, sf_dir):
     return rounded(J.gaps(messages(spark, sf_dir).withColumn("stream", F.lit("events")), "ts", 300, 900, ("stream",)))
 
 
+@query(f"""WITH e AS (SELECT (epoch_us(ts) // 1000000) // 3600 * 3600 AS bar, value AS qty, (event_id % 30) / 100.0 AS dist FROM events WHERE event_type <> 'error'),
+hours AS (SELECT DISTINCT (epoch_us(ts) // 1000000) // 3600 * 3600 AS bar FROM events),
+h AS (SELECT bar, quantile_cont(qty, 0.5) AS wall_median, max(qty) AS wall_max, quantile_cont(dist, 0.5) AS wall_dist, count(qty) AS wall_count, sum(qty) AS wall_sum FROM e GROUP BY bar),
+wide AS (SELECT 'events' AS stream, bar // 86400 * 86400 AS out, wall_median, wall_max, wall_dist, coalesce(wall_count, 0) AS wall_count, coalesce(wall_sum, 0) AS wall_sum FROM hours LEFT JOIN h USING (bar)),
+{weighted('wall_median', 'wall_count', 'wide', 'med')}, {weighted('wall_dist', 'wall_count', 'wide', 'far')},
+b AS (SELECT stream, out, CAST(sum(wall_count) AS BIGINT) AS wall_count, sum(wall_sum) AS wall_sum, max(wall_max) AS wall_max FROM wide GROUP BY stream, out)
+SELECT stream, out, wall_count, round(wall_sum, 6) AS wall_sum, round(coalesce(wall_max, 0), 6) AS wall_max, round(coalesce(med, 0), 6) AS wall_median, round(coalesce(far, -1), 6) AS wall_dist FROM b LEFT JOIN med_m USING (stream, out) LEFT JOIN far_m USING (stream, out)""")
+def agg_wall_merge(spark, sf_dir):
+    """Hourly walls to days; an error message stands for a sample without a wall."""
+    from ..sources.tables import messages
+
+    dist = F.when(F.col("kind") == "error", -1.0).otherwise((F.col("seq") % 30) / 100.0)
+    rows = messages(spark, sf_dir).withColumn("dist", dist).withColumn("stream", F.lit("events"))
+    return rounded(M.walls(B.wall_stats(rows, 3600, "value", "dist", ("stream",)), DAY))

@@ -9,6 +9,7 @@ from ..operators import models as O
 from ..operators import stats as T
 from .features import labelled
 from .shared import rounded
+from .simulations import orders
 
 QUERIES, ORACLE = {}, {}
 FEATURES = ["imb", "score", "vol"]
@@ -45,12 +46,31 @@ def model_boosted_regression(spark, sf_dir):
     return rounded(T.rank_ic(got.select("period", "ret", "forecast"), "forecast", "ret", ["period"]), 4)
 
 
+def in_line(rows):
+    """Bars of all streams in one order: by time, then stream."""
+    return rows.withColumn("at", F.col("bar") + F.ascii("stream"))
+
+
 @query
 def model_rolling_windows(spark, sf_dir):
     rows, _ = prepared(spark, sf_dir)
-    one = rows.filter("stream = 'N'")
-    n = one.count()
-    return rounded(O.rolling(one, "bar", FEATURES, "label", n // 2, n // 6, n // 6), 4)
+    return rounded(O.rolling(in_line(rows), "at", FEATURES, "label", most=4), 4)
+
+
+@query
+def model_rolling_wins(spark, sf_dir):
+    """The bar's own imbalance against all features, over the same windows."""
+    rows, _ = prepared(spark, sf_dir)
+    return rounded(O.rolling_wins(in_line(rows), "at", {"imb": ["imb"], "all": FEATURES}, "label", most=3), 4)
+
+
+@query
+def fill_split_grouped_auc(spark, sf_dir):
+    """Whether a model that never saw a period tells its filled orders from its missed ones: one area over all held-out rows."""
+    rows = orders(spark, sf_dir).filter("filled is not null").withColumn("y", F.col("filled").cast("int"))
+    held = O.grouped_scores(rows.select("stream", "bar", "period", "y", "imb", "score", "buy_qty", "sell_qty"), "period", ["imb", "score", "buy_qty", "sell_qty"], "y")
+    auc = T.roc_auc(held.withColumn("pool", F.lit("all")), "p", "y", ["pool"]).drop("auc_any", "pool")
+    return rounded(auc.withColumn("verdict", F.when(F.col("auc") >= 0.58, "signal").when(F.col("auc") >= 0.54, "weak").otherwise("none")), 4)
 
 
 @query

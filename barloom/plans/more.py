@@ -6,13 +6,17 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import along
+from ..functions.scalars import finite
+from ..functions.windows import along, diff, rolling
+from ..operators import bars as B
+from ..operators import cleaning as C
 from ..operators import folds as D
 from ..operators import merge as M
 from ..operators import simulation as X
 from ..operators import stats as T
+from ..sources.tables import DAY, messages, tape
 from .features import LABELLED, labelled
-from .shared import DAILY, SCORED, WEEK, daily, rounded, scored
+from .shared import DAILY, SCORED, TAPE, WEEK, daily, rounded, scored
 from .simulations import DELTA, H, MAKER, MAKERSQL, PNL, SIDED, SL, TAKER, TP, TPSL, exits, maker_sql, orders, results, sided
 
 QUERIES, ORACLE = {}, {}
@@ -132,3 +136,53 @@ SELECT CAST(draw AS BIGINT) AS draw, key, round(w, 4) AS w FROM d JOIN t ON x >=
 def weighted_sample(spark, sf_dir):
     rows = results(spark, sf_dir).withColumn("key", F.concat_ws("-", "stream", "bar")).withColumn("w", F.abs("pnl"))
     return rounded(X.weighted_sample(rows.select("key", "w"), "w", 200, "key"), 4)
+
+
+@query(f"""WITH {SCORED}, p AS (SELECT *, period // 4 AS fold, period % 4 AS quarter FROM scored),
+e AS (SELECT stream, fold, quantile_cont(score, 0.8) AS high, quantile_cont(score, 0.2) AS low FROM p WHERE quarter = 2 AND score IS NOT NULL GROUP BY ALL)
+SELECT stream, bar, 1 AS side, round(score, 6) AS score, round(high, 6) AS threshold FROM p JOIN e USING (stream, fold) WHERE quarter = 3 AND score >= high
+UNION ALL SELECT stream, bar, -1 AS side, round(score, 6) AS score, round(low, 6) AS threshold FROM p JOIN e USING (stream, fold) WHERE quarter = 3 AND score <= low""")
+def trigger_frozen_quantile(spark, sf_dir):
+    """Both tails of the score; in each fold the third period validates, the fourth tests."""
+    quarter = F.col("period") % 4
+    rows = scored(spark, sf_dir).withColumn("fold", F.floor(F.col("period") / 4)).withColumn("part", F.when(quarter == 2, "val").when(quarter == 3, "test").otherwise("train"))
+    tails = [X.frozen_trigger(rows, "part", "score", 0.2, ["stream", "fold"], low).select("stream", "bar", F.lit(-1 if low else 1).alias("side"), "score", "threshold") for low in (False, True)]
+    return rounded(tails[0].unionByName(tails[1]))
+
+
+@query(f"""WITH {DAILY} SELECT stream, bar, round(close - lag(close, 1) OVER w, 6) AS diff_1, round(close - lag(close, 4) OVER w, 6) AS diff_4,
+  round(CASE WHEN count(buy_qty) OVER w12 = 12 THEN sum(buy_qty) OVER w12 END, 6) AS sum_12 FROM daily WINDOW w AS (PARTITION BY stream ORDER BY bar), w12 AS (PARTITION BY stream ORDER BY bar ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def feat_diff_full_sum(spark, sf_dir):
+    """Differences, and a rolling sum that needs its whole window."""
+    w = along("stream", by="bar")
+    return rounded(daily(spark, sf_dir).select("stream", "bar", diff("close", 1, w).alias("diff_1"), diff("close", 4, w).alias("diff_4"), rolling("buy_qty", 12, 12, w, F.sum).alias("sum_12")))
+
+
+@query(f"""WITH {TAPE}, b AS (SELECT stream, bar, arg_max(bid, seq) AS bc, arg_max(ask, seq) AS ac, quantile_cont(bid, 0.5) AS bm, quantile_cont(ask, 0.5) AS am FROM tape GROUP BY stream, bar)
+SELECT stream, bar, round((bc + ac) / 2, 6) AS close, round((bm + am) / 2, 6) AS close_of_medians FROM b""")
+def close_from_sides(spark, sf_dir):
+    """The close of bars with both sides' closes, and of the same bars under a schema without them."""
+    ends = [f(s, *a).alias(f"{s}_{n}") for s in ("bid", "ask") for n, f, a in (("close", F.max_by, ("seq",)), ("median", F.percentile, (F.lit(0.5),)))]
+    bars = B.bars(tape(spark, sf_dir), DAY, *ends)
+    both = C.with_close(C.with_close(bars.drop("bid_close", "ask_close")).withColumnRenamed("close", "close_of_medians").drop("bid_median", "ask_median").join(bars.select("stream", "bar", "bid_close", "ask_close"), ["stream", "bar"]))
+    return rounded(both.select("stream", "bar", "close", "close_of_medians"))
+
+
+@query(f"WITH {SCORED}, s AS (SELECT min(bar) AS start FROM scored WHERE score IS NOT NULL) SELECT stream, bar, round(close, 6) AS close, round(score, 6) AS score FROM scored, s WHERE bar >= start")
+def era_slice(spark, sf_dir):
+    return rounded(C.era(scored(spark, sf_dir), "bar", "score").select("stream", "bar", "close", "score"))
+
+
+@query(f"""WITH {SCORED}, n AS (SELECT count(*) AS n, count(*) FILTER (score IS NULL OR fwd IS NULL OR imb IS NULL) AS lost, count(score) AS a, count(fwd) AS b, count(imb) AS c FROM scored),
+u AS (SELECT 'score' AS "column", 1 - a / n AS null_share, lost / n AS lost_share FROM n UNION ALL SELECT 'fwd', 1 - b / n, lost / n FROM n UNION ALL SELECT 'imb', 1 - c / n, lost / n FROM n)
+SELECT "column", round(null_share, 6) AS null_share, round(lost_share, 6) AS lost_share, row_number() OVER (ORDER BY null_share DESC, "column") AS worst, CAST(lost_share > 0.05 AS INT) AS warn FROM u""")
+def null_loss_report(spark, sf_dir):
+    got = C.null_losses(scored(spark, sf_dir), ["score", "fwd", "imb"])
+    return rounded(got.withColumn("warn", F.col("warn").cast("int")))
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_type NOT IN ('error', 'signup') THEN round(value, 6) END AS value FROM events")
+def finite_values(spark, sf_dir):
+    """Errors carry an infinity and signups no number; both become null."""
+    raw = F.when(F.col("kind") == "error", float("-inf")).when(F.col("kind") == "signup", float("nan")).otherwise(F.col("value"))
+    return rounded(messages(spark, sf_dir).select("seq", finite(raw).alias("value")))

@@ -8,7 +8,6 @@ import pytest
 from barloom import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"model_rolling_windows", "model_by_regime", "model_feature_sets"}
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +43,6 @@ def test_query_matches_sql(spark, sf, db, name):
     assert sum(not same(x, y) for x, y in zip(a, b, strict=True)) == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
 def test_query_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0
