@@ -35,7 +35,7 @@ def random_tape(spark, n, seed):
 def test_single_trade_is_early_in_a_bar_and_late_after_a_merge(spark):
     bars = B.trade_sequence(tape(spark, [(0, 10, 3, 1)]), 5)
     assert rows(bars)[0]["early_buy_qty"] == 3.0
-    assert rows(M.halves(bars, 15))[0] | {} == {"stream": "a", "out": 0, "early_buy_qty": 0.0, "late_buy_qty": 3.0, "early_sell_qty": 0.0, "late_sell_qty": 0.0}
+    assert rows(M.halves(bars, 15))[0] | {} == {"stream": "a", "out": 0, "early_buy_qty": 0.0, "late_buy_qty": 3.0, "early_sell_qty": 0.0, "late_sell_qty": 0.0, "early_buy_count": 0.0, "late_buy_count": 1.0, "early_sell_count": 0.0, "late_sell_count": 0.0}
 
 
 def test_two_samples_have_no_volatility(spark):
