@@ -107,13 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8192, seed: int = 17, id
                 names=["at", "id", "label", "places", "values"],
             )
 
-    got = map_batches(found.select("at", "id", "label", "text"), run, "at long, id long, label int, places binary, values binary").toArrow().to_pydict()
-    rows, seen = [], set()
-    for at, i, label, places, values in sorted(zip(*got.values(), strict=True)):
-        if i not in seen:  # a repeated id trains once
-            seen.add(i)
-            rows.append((np.frombuffer(places, np.int32), np.frombuffer(values, np.float32).astype(np.float64), label))
-    return ftrl(rows)
+    got = map_batches(found.select("at", "id", "label", "text"), run, "at long, id long, label int, places binary, values binary")
+    least = got.groupBy("at", "id", "label").agg(F.min(F.struct("places", "values")).alias("x"))  # a repeated id trains once; its copies don't travel to the driver
+    rows = sorted(zip(*least.select("at", "id", "label", "x.places", "x.values").toArrow().to_pydict().values(), strict=True))
+    return ftrl([(np.frombuffer(places, np.int32), np.frombuffer(values, np.float32).astype(np.float64), label) for _, _, label, places, values in rows])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float], carried: str) -> Iterator[pa.RecordBatch]:

@@ -987,3 +987,21 @@ def test_fit_is_bounded_and_repeatable(spark):
     d, y = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     a, b = quality_classifier.fit(d, y, most=50), quality_classifier.fit(d.repartition(5), y, most=50)
     assert a[1] == b[1] and np.array_equal(a[0], b[0])
+
+
+def test_fit_brings_each_id_to_the_driver_once(spark, monkeypatch):
+    """Copies of a document under one id train once and stay in the cluster."""
+    sf, brought = "/root/testdata/sf0.001", []
+    d, y = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    to_arrow = type(d).toArrow
+
+    def counted(df):
+        table = to_arrow(df)
+        brought.append(table.num_rows)
+        return table
+
+    monkeypatch.setattr(type(d), "toArrow", counted)
+    a = quality_classifier.fit(d, y)
+    b = quality_classifier.fit(d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))), y)
+    assert a[1] == b[1] and np.array_equal(a[0], b[0])
+    assert brought[0] == brought[1] > 0
