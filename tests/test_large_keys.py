@@ -10,7 +10,7 @@ from barloom import plans
 
 from test_queries import plain, same
 
-NAMES = ["agg_flips_merge"]
+NAMES = ["agg_flips_merge", "bar_flips"]
 
 
 @pytest.fixture(scope="module")
