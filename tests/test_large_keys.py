@@ -10,7 +10,7 @@ from barloom import plans
 
 from test_queries import plain, same
 
-NAMES = ["agg_flips_merge", "bar_flips", "bar_lead_tail_runs", "bar_mid_vol", "bar_sufficient_stats"]
+NAMES = ["agg_flips_merge", "bar_flips", "bar_lead_tail_runs", "bar_mid_vol", "bar_sufficient_stats", "book_ofi"]
 
 
 @pytest.fixture(scope="module")
