@@ -22,16 +22,17 @@ def backward(left: DataFrame, right: DataFrame, value: str, keys: list[str], sta
     return seen.select(*keys, ts, *([F.col(f"_row.{c}") for c in cols]), fresh.alias(name), F.when(fresh.isNotNull(), F.col("_at")).alias(f"{name}_ts"))
 
 
-def nearest(rows: DataFrame, value: str, keys: list[str], back: int, tolerance: int, name: str, ts: str = "ts") -> DataFrame:
-    """Each row with the value nearest to ``back`` seconds earlier, within the tolerance; of equals the later one.
+def nearest(rows: DataFrame, value: str, keys: list[str], back: int, tolerance: int, name: str, ts: str = "ts", order: str | None = None) -> DataFrame:
+    """Each row with the value nearest to ``back`` seconds earlier, within the tolerance; of equally far times the later one.
 
-    Two one-sided looks over the union of rows and targets; times are unique within the keys.
+    Two one-sided looks over the union of rows and targets. Of rows of one time, ``order`` tells which is nearest: the last
+    of them from behind, the first from ahead. Without it times are unique within the keys.
     """
     targets = rows.withColumn("_at", F.col(ts) - back).withColumn("_target", F.lit(1))
-    known = rows.select(*keys, F.col(ts).alias("_at"), F.lit(0).alias("_target"), F.col(ts).alias("_ts"), F.col(value).alias("_v"))
+    known = rows.select(*keys, F.col(ts).alias("_at"), F.lit(0).alias("_target"), F.col(ts).alias("_ts"), F.col(value).alias("_v"), *([F.col(order).alias("_o")] if order else []))
     both = targets.withColumn("_ts", F.lit(None).cast("long")).withColumn("_v", F.lit(None).cast(rows.schema[value].dataType)).unionByName(known, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_at", "_target").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), "_target").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_at", "_target", *([F.col("_o")] if order else [])).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.col("_at").desc(), "_target", *([F.col("_o").desc()] if order else [])).rowsBetween(Window.unboundedPreceding, 0)
     pair = F.when(F.col("_target") == 0, F.struct("_ts", "_v"))
     seen = both.withColumn("_b", F.last(pair, True).over(before)).withColumn("_a", F.last(pair, True).over(after)).filter("_target = 1")
     gap_b, gap_a = F.col("_at") - F.col("_b._ts"), F.col("_a._ts") - F.col("_at")

@@ -156,7 +156,7 @@ SELECT seq, round(CASE WHEN ats - aim <= 7200 AND (bts IS NULL OR ats - aim <= a
   CASE WHEN ats - aim <= 7200 AND (bts IS NULL OR ats - aim <= aim - bts) THEN ats WHEN aim - bts <= 7200 THEN bts END AS past_ts FROM b JOIN a USING (seq)""")
 def asof_nearest_tolerance(spark, sf_dir):
     rows = messages(spark, sf_dir).select("key", "ts", "value", "seq")
-    return rounded(J.nearest(rows, "value", ["key"], DAY, 2 * HOUR, "past").select("seq", "past", "past_ts"))
+    return rounded(J.nearest(rows, "value", ["key"], DAY, 2 * HOUR, "past", order="seq").select("seq", "past", "past_ts"))
 
 
 @query("""WITH p AS (SELECT user_id AS key, (epoch_us(ts) // 1000000) AS ts, event_id AS seq FROM events WHERE event_type = 'purchase'),

@@ -198,3 +198,12 @@ def test_window_partitions_follow_keys(spark):
     df = closes(spark, [1, 2]).unionByName(closes(spark, [9, 9]).withColumn("stream", F.lit("b")))
     got = df.withColumn("d", W.diff("close", 1, W.along("stream"))).withColumn("n", F.count("*").over(Window.partitionBy("stream")))
     assert [r["d"] for r in rows(got, "stream", "ts")] == [None, 1.0, None, 0.0]
+
+
+def test_nearest_among_rows_of_one_time(spark):
+    """The last of them from behind, the first from ahead, in whatever order the rows come."""
+    got = [("a", 100, 1.0, 1), ("a", 100, 2.0, 2), ("a", 100, 3.0, 3), ("a", 210, 4.0, 4), ("a", 195, 5.0, 5), ("a", 200, 6.0, 6)]
+    for some in (got, got[::-1]):
+        df = spark.createDataFrame(some, "k string, ts long, v double, seq long").coalesce(1)
+        near = {r["seq"]: r["past"] for r in rows(J.nearest(df, "v", ["k"], 100, 20, "past", order="seq"))}
+        assert near == {1: None, 2: None, 3: None, 4: 3.0, 5: 1.0, 6: 1.0}
