@@ -7,7 +7,9 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,12 +109,28 @@ def release() -> None:
 def state(key: object, make: Callable[[], object]) -> object:
     """What an operator remembers in a Python worker from task to task; another operator's memory makes way for it."""
     if key not in _state:
-        _state.clear()
-        release()
+        forget()
         _state[key] = make()
     return _state[key]
 
 
+def forget() -> None:
+    """Frees what an earlier query left in a Python worker, which would stay beside what a step without such memory needs."""
+    if _state:
+        _state.clear()
+        release()
+
+
+def pieces(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with texts of ``most`` bytes together; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def each_text(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts of a batch one by one, null as the empty text; so a batch of long texts isn't held twice."""
     return (x.as_py() or "" for x in batch.column(column))

@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, state, each_text
+from .common import cut, each_text, forget, map_batches, pieces, state
 
 WORD, GRAM, UNTRAINED = 0, 1, 2
 #: The key of a text's end among words: no word hashes from an empty string.
 END = int(np.uint64(xxhash.xxh64_intdigest(b"")).astype(np.int64))
 #: Counts held in a task before they are handed on, windows counted at once, log10 steps of a code.
 HELD, WINDOWS, UNIT = 400_000, 1 << 18, 1 << 24
+#: Bytes of texts counted or scored at once, counts handed on at once.
+PIECE, ROWS = 1 << 20, 1 << 16
 #: Context bytes whose subtrees stay together, windows of subtrees taken at once, the multiplier of the window table's hash, its empty slot (UTF-8 has no byte 255).
 SHARED, SUBTREE, MIX, EMPTY = 2, 1 << 16, np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
 
@@ -169,12 +171,14 @@ def _windows_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tops(batches: Iterator[pa.RecordBatch], depth: int, low: int) -> Iterator[pa.RecordBatch]:
+    forget()
     for keys, n, _ in _subtrees(batches):
         level = subtree(keys, n, depth, low)[0][-1]
         yield pa.RecordBatch.from_arrays([pa.array(level.nodes.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.logs)], names=["node", "zeros", "ones", "logs"])
 
 
 def _codes(batches: Iterator[pa.RecordBatch], depth: int, low: int, shared) -> Iterator[pa.RecordBatch]:
+    forget()
     tops, told, left = shared.value
     for keys, n, m in _subtrees(batches):
         levels, where = subtree(keys, n, depth, low)
@@ -286,19 +290,22 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    forget()
     seen: Counter = Counter()
     parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], UNTRAINED: []}
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), ROWS):
+            key = keys[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n[k : k + ROWS].astype(np.int64))], names=["kind", "key", "n"])
 
-    def told() -> pa.RecordBatch:
+    def told() -> Iterator[pa.RecordBatch]:
         keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        out = rows(WORD, keys, np.fromiter(seen.values(), np.int64, len(seen)))
+        n = np.fromiter(seen.values(), np.int64, len(seen))
         seen.clear()
-        return out
+        yield from rows(WORD, keys, n)
 
-    for b in batches:
+    for b in (p for b in batches for p in pieces(b, PIECE)):
         dealt: dict[int, list[bytes]] = {GRAM: [], UNTRAINED: []}
         for t, train in zip(each_text(b), b.column("train").to_pylist(), strict=True):
             t = t.encode("utf-8", "surrogatepass").lower()
@@ -307,20 +314,20 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                 seen.update(t.split())
                 seen[b""] += 1
                 if len(seen) > HELD:
-                    yield told()
+                    yield from told()
         for kind, got in dealt.items():
             for part in grams(got, depth):
                 parts[kind].append(part)
                 if sum(len(k) for k, _ in parts[kind]) > 4 * HELD:
                     parts[kind] = [summed(parts[kind])]
                     if len(parts[kind][0][0]) > 2 * HELD:
-                        yield rows(kind, *parts[kind][0])
+                        yield from rows(kind, *parts[kind][0])
                         parts[kind] = []
     if seen:
-        yield told()
+        yield from told()
     for kind, left in parts.items():
         if left:
-            yield rows(kind, *summed(left))
+            yield from rows(kind, *summed(left))
 
 
 def held_out(id_col: Column) -> Column:
@@ -441,7 +448,7 @@ class Scorer:
 
 def _score(batches: Iterator[pa.RecordBatch], shared, run: str) -> Iterator[pa.RecordBatch]:
     scorer = state(("ctw", run), lambda: Scorer(*shared.value))  # one table a worker, not a task
-    for b in batches:
+    for b in (p for b in batches for p in pieces(b, PIECE)):
         got = [t.encode("utf-8", "surrogatepass").lower() for t in each_text(b)]
         units, text, key, n = scorer.codes(got)
         ends = pa.array(np.searchsorted(text, np.arange(len(got) + 1)), pa.int32())

@@ -11,11 +11,13 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, ctw, fingerprints, html_extract, license_scan, mixing, quality_classifier, quality_rules, simhash_dedup, unigram_count
+from barloom.llm import bpe, common, ctw, fingerprints, html_extract, license_scan, mixing, quality_classifier, quality_rules, simhash_dedup, unigram_count
 from barloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -959,6 +961,29 @@ def test_lm_on_odd_rows(odd, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_lm_memory_of_a_worker(monkeypatch):
+    """Counting frees the table of an earlier query; what goes out is bounded, however many texts come in at once."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abcdefgh ", k=draw.randrange(60_000, 90_000))) for _ in range(40)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42), pa.int64()), pa.array(range(42), pa.int64()), pa.array(texts), pa.array([True] * 42)], names=["row", "id", "text", "train"])
+    monkeypatch.setattr(common, "_state", {"earlier": object()})
+    counts = list(ctw._count(iter([batch]), 5))
+    assert not common._state
+    assert max(b.num_rows for b in counts) <= 1 << 16
+    whole = [t.encode() for t in texts if t] + [b"", b""]
+    keys, n = ctw.summed(list(ctw.grams(whole, 5)))
+    got = pa.Table.from_batches(counts).filter(pc.field("kind") == ctw.GRAM)
+    assert dict(zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)) == {r["key"]: r["n_sum"] for r in got.group_by("key").aggregate([("n", "sum")]).to_pylist()}
+
+    class Empty:
+        value = (5, np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    scored = list(ctw._score(iter([batch]), Empty, "run"))
+    assert max(len(b.column("windows").flatten()) for b in scored) <= 1 << 20
+    often = [sum(r["often"]) for b in scored for r in b.to_pylist()]
+    assert often == [len(t or "") + 1 for t in texts]
+
+
 # classifier
 
 
