@@ -1030,3 +1030,38 @@ def test_fit_brings_each_id_to_the_driver_once(spark, monkeypatch):
     b = quality_classifier.fit(d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))), y)
     assert a[1] == b[1] and np.array_equal(a[0], b[0])
     assert brought[0] == brought[1] > 0
+
+
+def test_fit_brings_the_model_alone_to_the_driver(spark, monkeypatch):
+    """Not the features of labelled texts, which grow with their length."""
+    draw, brought = random.Random(5), []
+    rows = [(k, " ".join(f"w{draw.randrange(10**6)}" for _ in range(8000))) for k in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int")
+    to_arrow = type(d).toArrow
+
+    def counted(df):
+        table = to_arrow(df)
+        brought.append(table.nbytes)
+        return table
+
+    monkeypatch.setattr(type(d), "toArrow", counted)
+    weights, bias = quality_classifier.fit(d, y)
+    assert sum(brought) < 2 * weights.nbytes
+    train = sorted((i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1), key=dict(spark.range(90).select("id", F.xxhash64("id", F.lit(17))).collect()).get)
+    want = quality_classifier.ftrl([(p, v.astype(np.float64), i % 2) for i in train for p, v in (quality_classifier.features(dict(rows)[i]),)])
+    assert np.allclose(weights, want[0], atol=1e-6) and bias == pytest.approx(want[1])
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 50])
+def test_features_of_a_long_text(monkeypatch, run):
+    draw = random.Random(run)
+    texts = [" ".join(draw.choices(("a", "Bb", "7", "x\x1cy", "é", "\t\n"), k=n)) for n in (0, 1, 2, 3, 4, 7, 100, 101)]
+    whole = [quality_classifier.features(t) for t in texts]
+    monkeypatch.setattr(quality_classifier, "LONG", -1)
+    monkeypatch.setattr(quality_classifier, "RUN", run)
+    for t, (places, values) in zip(texts, whole, strict=True):
+        got = quality_classifier.features(t)
+        assert np.array_equal(got[0], places) and np.array_equal(got[1], values)
+        back = quality_classifier.unpacked(quality_classifier.packed(*quality_classifier.counted(t)))
+        assert np.array_equal(back[0], places) and np.array_equal(quality_classifier.scaled(back[1]), values)
